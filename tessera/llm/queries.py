@@ -5,17 +5,101 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._spark import table
+from .class_lm import class_lm
+from .decontaminate import mark
+from .html_extract import extract_main_text
+from .license_scan import license_scan
+from .line_dedup import dedup_lines
+from .mixing import mix_sizes
+from .ngram_join import ngram_join
+from .pii import find_pii
+from .quality_classifier import classify
 from .quality_rules import quality_rules
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (op1_pii, op2_line_dedup, op3_license_scan, op4_mixing, op5_ngram_join, op6_quality_classifier, op7_class_lm, op8_html_extract, op9_decontaminate, op10_quality_rules)
 }
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES: dict[str, str] = {
+    "op5_ngram_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+sh AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]) END AS s FROM w),
+sets AS (SELECT min(doc_id) AS cid, s, list(doc_id) AS ids FROM (SELECT doc_id, list_sort(s) AS s FROM sh) GROUP BY s),
+tokens AS (SELECT cid, len(s) AS n, unnest(s) AS t FROM sets WHERE len(s) > 0),
+pairs AS (
+  SELECT a.cid AS x, b.cid AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.cid < b.cid
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs UNION SELECT cid, cid FROM sets),
+reach(a, b) AS (SELECT x, y FROM links UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x),
+comp AS (SELECT a AS cid, min(b) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE c.component END AS component_id
+FROM sh d JOIN sets z ON list_sort(d.s) = z.s JOIN comp c ON c.cid = z.cid""",
+    "op9_decontaminate": rf"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+it AS (SELECT CAST(item_id AS VARCHAR) AS item, least(13, len(w)) AS k, w FROM iw WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, k, unnest([array_to_string(w[i:i+k-1], ' ') for i in range(1, len(w) - k + 2)]) AS g FROM it),
+ks AS (SELECT DISTINCT k FROM wins),
+places AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest([array_to_string(w[i:i+k-1], ' ') for i in range(1, len(w) - k + 2)]) AS g
+  FROM dw, ks WHERE len(w) >= k),
+hits AS (SELECT p.doc_id, p.i, p.k, x.item FROM places p JOIN wins x ON p.k = x.k AND p.g = x.g),
+hit_words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)""",
+}
