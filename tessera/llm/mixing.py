@@ -54,7 +54,8 @@ def _round(level: int, last: bool):
         """Settles all fractions of a bucket but one; at the root also that one."""
         source, bucket = key[0], int(key[1])
         rng = np.random.default_rng([SEED, level, bucket, crc32(b"-" if source is None else b"+" + source.encode())])
-        rows = rows.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        # The smallest come last, so that what is left open at the end is a small document.
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         p, size = rows["p"].to_numpy(float).copy(), rows["size"].to_numpy(float)
         open_ = np.flatnonzero((p > 0) & (p < 1) & (size > 0))
         p[size == 0] = 0
