@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._columns import WORD
 from ._spark import cut
 
-BUCKET, FAN, SEED = 20_000, 64, 17
+BUCKET, FAN, SEED = 2_000, 64, 17
 #: So many sources are joined by broadcast; more are joined by a shuffle.
 FEW_SOURCES = 50_000
 ROUNDED = "doc_id long, source string, size long, source_size long, target double, whole long, p double, bucket long"
