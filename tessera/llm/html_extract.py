@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from ._spark import cut
 
+#: Containers in more containers than this are not told apart.
+DEEPEST = 200
 #: So many hosts are joined by broadcast; more are joined by a shuffle.
 FEW_HOSTS = 20_000
 
@@ -141,7 +143,7 @@ class Page:
             if m[3].endswith("/") and tag not in BLOCKS:
                 continue
             container = -1
-            if tag in CONTAINERS:
+            if tag in CONTAINERS and len(around) < DEEPEST:
                 classes = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
                 above = self.paths[around[-1]] if around else ""
                 container = len(self.paths)
