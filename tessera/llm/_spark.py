@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
@@ -33,19 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", None) is None:
-        package = Path(__file__).resolve().parent.parent
-        path = os.path.join(tempfile.mkdtemp(), "tessera.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f"{package.name}/{f.relative_to(package)}")
-        sc.addPyFile(path)
-        sc._tessera_shipped = path
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
