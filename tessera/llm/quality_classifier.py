@@ -100,10 +100,10 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, f
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 5000) -> tuple[np.ndarray, float]:
-    known = labels.where("quality is not null and doc_id is not null").where(fold(F.col("doc_id"), folds) != 0)
+    known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").where(fold(F.col("doc_id"), folds) != 0)
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("mean")).where("mean <> 0.5").select(F.col("doc_id").alias("of"), (F.col("mean") > 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("of"), "of").limit(sample)
-    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["of"]).select("label", "text").mapInArrow(_bags, "label int, ids binary, n binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("label", "text").mapInArrow(_bags, "label int, ids binary, n binary")
     return train([(r["label"], np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["n"]), np.int32)) for r in rows.toLocalIterator()])
 
 

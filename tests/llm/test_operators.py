@@ -1,0 +1,367 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, repeats and clashing column names."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import class_lm, decontaminate, html_extract, license_scan, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACED, LETTERS = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, h long, n long, label int"
+
+
+def lowered(x):
+    return (x or "").translate(LOW)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "Über", "naïve", "😀", "a,b", "MIT"]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    lines = [make(rng.randint(4, 14)) for _ in range(60)]
+    passage = "\n".join(make(20) for _ in range(4))
+    out = [None, "", " \n\t ", "one", "two words", "a b c", "same line\nsame line\n\nsame line", "x" * 5000, "tok " * 3000]
+    out += ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    base = make(120)
+    out += [base, base, base]
+    for k in range(8):  # near copies
+        w = base.split()
+        for _ in range(k // 2):
+            w[rng.randrange(len(w))] = f"new{k}"
+        out.append(" ".join(w))
+    out += [make(15) + "\n" + passage + "\n" + make(15) for _ in range(5)]
+    out += ["mail a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 +1 (930) 555-2361 4111 1111 1111 1111 4111-1111-1111-1112", "GNU General-Public license. apache LICENSE cc.by by MIT\nLicense apacKe license cc by", "é😀 a@b.co 4111111111111111 +12345678901 010.000.255.1"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", "B", None][i % 4] if i % 2 else "a", len(t or ""), "clash", 1, 2, 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def is_pii(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in s.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and sum(v - 9 if v > 9 else v for i, c in enumerate(reversed(d)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def test_pii(docs, texts, empty):
+    got = by_id(pii.find_pii(docs))
+    for i, t in enumerate(texts):
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p in PII.items() for m in re.finditer(p, t or "") if is_pii(k, m[0])]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(got[i]["spans"].split(",")) | {""}
+        assert sum(got[i][f"n_{k}"] for k in PII) == len(spans)
+    assert pii.find_pii(empty).count() == 0
+    cut = by_id(pii.redact(docs, pii.find_pii(docs)))
+    assert "4111111111111111" not in cut[len(texts) - 1]["text"] and cut[0]["text"] is None
+
+
+def test_pii_learns(spark):
+    rows = [(i, f"call me at +1 (555) 010-{1000 + i} or not") for i in range(60)] + [(100 + i, f'token = "ab{i:04d}123456789012cd"') for i in range(60)]
+    rows += [(300, "reach (555) 010-1234 today")]
+    got = by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[300]["spans"] == "phone:6:20" and got[100]["spans"] == ""
+
+
+def test_license_scan(docs, texts, empty):
+    got = by_id(license_scan.license_scan(docs))
+    for i, t in enumerate(texts):
+        w, places = LETTERS.findall(lowered(t)), []
+        for label, phrase in license_scan.BASE:
+            p = phrase.split()
+            places += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
+        g = got[i]
+        assert (g["n_words"], g["n_base"], g["base_labels"]) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
+        assert (g["first_word"], g["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert 0 <= g["score"] <= 1
+    assert license_scan.license_scan(empty).count() == 0
+
+
+def test_license_notice(spark):
+    d = spark.createDataFrame([(1, "x Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files y"), (2, "permission is hereby granted to go")], "doc_id long, text string")
+    got = by_id(license_scan.license_scan(d))
+    assert (got[1]["labels"], got[1]["base_labels"], got[2]["labels"]) == ("mit", "", "") and got[1]["score"] > 0.99
+
+
+def test_quality_rules(docs, texts, empty):
+    got = by_id(quality_rules.quality_rules(docs))
+    for i, t in enumerate(texts):
+        w = SPACED.findall(t or "")
+        n = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = {j for k in range(len(w) - 4) if n[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if SPACED.search(x)]
+        g = got[i]
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again))
+        assert g["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w)) and (not g["kept"] or not g["base_failed"])
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_quality_rules_verdict(spark):
+    rng = random.Random(1)
+    prose = "the of and to in it is was that for with on as are this by".split() + [f"word{chr(97 + i)}" for i in range(20)]
+    rows = [(i, " ".join(rng.choice(prose) for _ in range(80)), "en") for i in range(60)]
+    rows += [(1000, " ".join(f"{chr(65 + i % 26)}{i}##$$" for i in range(80)), "en")]
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not got[1000]["kept"] and all(got[i]["kept"] for i in range(60))
+
+
+def sets_of(texts, k):
+    out = {}
+    for i, t in enumerate(texts):
+        w = SPACED.findall(lowered(t))
+        out[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    return out
+
+
+@pytest.mark.parametrize(("k", "percent", "rounds"), [(4, 85, 6), (2, 60, 6), (5, 80, 0)])
+def test_ngram_join(docs, texts, monkeypatch, k, percent, rounds):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    got, sets = by_id(ngram_join.ngram_join(docs, k, percent)), sets_of(texts, k)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: (g["n_shingles"], g["component_id"]) for i, g in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_ngram_join_many_near_copies(spark):
+    """A large group whose members are near their centre, but not all near each other; and no link is lost."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sets = sets_of([t for _, t in rows], 4)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = by_id(ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert {i: g["component_id"] for i, g in got.items()} == {i: find(i) for i in sets}
+
+
+def test_ngram_join_empty_and_repeated(spark, empty):
+    assert ngram_join.ngram_join(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (0, "a b c d e"), (2, "")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_join(twice).collect())) == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 0, 2)]
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(twice).collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("block_words", [10**6, 20])
+def test_decontaminate(spark, docs, texts, empty, block_words):
+    w = LETTERS.findall(lowered(texts[60]))
+    items = [(1, " ".join(w[3:40])), (2, " ".join(w[50:63])), (3, "the of"), (4, None), (5, "..."), (6, texts[-8].replace("\n", " ")), (None, "w1"), (7, " ".join(w[3:16])), (7, "naïve"), (30, "tok tok tok")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = defaultdict(set)
+    for i, t in items:
+        x = LETTERS.findall(lowered(t))
+        k = min(13, len(x))
+        if i is not None and k:
+            for j in range(len(x) - k + 1):
+                windows[tuple(x[j : j + k])].add(str(i))
+    got = by_id(decontaminate.mark(docs, bench, block_words=block_words))
+    for i, t in enumerate(texts):
+        x, hit, found = LETTERS.findall(lowered(t)), set(), set()
+        for k in {len(v) for v in windows}:
+            for j in range(len(x) - k + 1):
+                if (v := windows.get(tuple(x[j : j + k]))) is not None:
+                    hit.update(range(j, j + k))
+                    found |= v
+        g = got[i]
+        assert (g["n_words"], g["n_hit"], g["n_items"], sorted(g["items"])) == (len(x), len(hit), len(found), sorted(found))
+        assert g["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(x)) and g["lang"] == ["en", "de", None][i % 3]
+    assert decontaminate.mark(docs, bench.limit(0)).where("contaminated").isEmpty()
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not g["contaminated"] for g in got.values())
+    assert decontaminate.mark(empty, bench).count() == 0
+
+
+def test_mixing(docs, texts, empty):
+    got = by_id(mixing.mix_sizes(docs))
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    size = {i: len(SPACED.findall(t or "")) for i, t in enumerate(texts)}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    sums = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    weight = {s: [1, 2, 3][k % 3] for k, s in enumerate(names)}
+    target, free, rest = {}, set(names), sum(sums.values())
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * sums[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in over:
+            target[s] = 3.0 * sums[s]
+            rest -= target[s]
+        free -= over
+    for i, g in got.items():
+        assert (g["size"], g["source_size"]) == (size[i], sums[source[i]])
+        assert g["target"] == pytest.approx(target[source[i]]) and g["taken"] == g["copies"] * g["size"] and 0 <= g["copies"] <= 3
+    for s in names:
+        taken = sum(g["taken"] for i, g in got.items() if source[i] == s)
+        assert abs(taken - target[s]) <= max(size[i] for i in size if source[i] == s)
+    assert {i: g["taken"] for i, g in by_id(mixing.mix_sizes(docs.repartition(7))).items()} == {i: g["taken"] for i, g in got.items()}
+    assert mixing.mix(docs).count() == sum(g["copies"] for g in got.values()) and mixing.mix_sizes(empty).count() == 0
+
+
+def test_mixing_tree(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 3)
+    monkeypatch.setattr(mixing, "FAN", 2)
+    got = mixing.mix_sizes(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max("size").alias("m")).collect()
+    assert all(abs(r["t"] - r["target"]) <= r["m"] for r in got)
+
+
+def test_line_dedup(docs, texts, empty):
+    got = by_id(line_dedup.dedup_lines(docs))
+    passage = texts[-4].split("\n")[1:-1]
+    holders = [i for i, t in enumerate(texts) if t and "\n".join(passage) in t]
+    left = [i for i in holders if passage[1] in (got[i]["text"] or "")]
+    assert len(holders) == 5 and left == holders[:1]
+    assert got[0]["text"] is None and got[1]["text"] == "" and got[6]["text"] == texts[6]
+    for i, t in enumerate(texts):
+        if t is not None:
+            kept = iter(t.split("\n"))
+            assert all(x in kept for x in got[i]["text"].split("\n")) or got[i]["text"] == ""
+            assert got[i]["n_chars"] == len(got[i]["text"]) and got[i]["_n_lines"] == t.count("\n") + 1
+    # Copies of a long text of one line go; the first stays.
+    first = next(i for i, t in enumerate(texts) if t and texts.count(t) == 5)
+    assert [got[first + k]["text"] for k in range(3)] == [texts[first], "", ""]
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_chunks_resynchronise(spark):
+    """A passage of several lines is found at every place in a text, wherever it was put."""
+    rng = random.Random(9)
+    line = lambda: " ".join(f"q{rng.randrange(10**6)}" for _ in range(13))
+    passages = [[line() for _ in range(rng.randint(5, 8))] for _ in range(30)]
+    rows, seen = [], Counter()
+    for i in range(200):
+        own, p = [line() for _ in range(6)], rng.randrange(30)
+        at = rng.randrange(7)
+        rows.append((i, "\n".join(own[:at] + passages[p] + own[at:]), p, "\n".join(own)))
+        seen[p] += 1
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)))
+    met, caught, again = set(), 0, 0
+    for i, t, p, own in rows:
+        if p in met:
+            again += 1
+            caught += got[i]["text"] == own
+        else:
+            met.add(p)
+            assert got[i]["text"] == t
+    assert caught >= 0.9 * again
+
+
+def test_quality_classifier(spark, empty):
+    rng = random.Random(2)
+    good, bad = [f"fine{i}" for i in range(80)], [f"###{i}$$" for i in range(80)]
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 else good) for _ in range(40)), "en", "s", 1, "x", 1, 1, 1) for i in range(400)] + [(1000, None, "en", "s", 1, "x", 1, 1, 1), (1001, "", "en", "s", 1, "x", 1, 1, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(400)] + [(5, 0), (7, None), (9999, 1)], "doc_id long, quality int")
+    got = by_id(quality_classifier.classify(docs, labels))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (i in held) for i in range(400))
+    assert sum(got[i]["predicted"] == int(i % 3 != 0) for i in held) >= 0.98 * len(held)
+    assert got[1000]["score"] == got[1001]["score"] and 0 < got[1000]["score"] < 1
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 250 < kept.count() < 290
+    assert quality_classifier.classify(empty, labels).count() == 0
+    assert quality_classifier.classify(docs, labels.limit(0)).where("score <> 0.5").isEmpty()
+
+
+def test_class_lm(docs, texts, empty, monkeypatch):
+    monkeypatch.setattr(class_lm, "HEAD", 300)  # so that there are words outside the head
+    got = by_id(class_lm.class_lm(docs))
+    tokens = {i: [*SPACED.findall(lowered(t)), None] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = Counter(x for i, w in tokens.items() if not held[i] for x in w)
+    n = sum(c.values())
+    for i, w in tokens.items():
+        g = got[i]
+        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[i], len(w), sum(c[x] > 0 for x in w), n)
+        assert g["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w), rel=1e-9)
+        assert g["score"] < 0
+    assert class_lm.class_lm(empty).count() == 0
+
+
+def test_class_lm_is_a_distribution():
+    """Over all words after a given class, the probabilities sum to one (with one unseen word)."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    heads = [(i + 1, int(x)) for i, x in enumerate(sorted(rng.integers(5, 200, 30), reverse=True))]
+    bigrams = rng.integers(0, 9, (13, 13)).astype(float)
+    n = sum(c for _, c in heads)
+    m = class_lm.Model(heads, n, len(heads), bigrams, 12)
+    for k in range(len(m.step)):
+        total = sum(10 ** (m.step[k, m.classes[i]] + m.emit[i]) for i in range(len(heads))) + 10 ** (m.step[k, m.classes[-1]] + m.emit[-1])
+        assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_html(spark):
+    page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use</div><div class="box-12"><aside>side</aside><main><article class="post-3"><header>By</header><h1>Ti&amp;tle</h1><p>One <b>bo</b>ld&nbsp;x<script>var a="<p>no</p>"</script> y<br>z<p>Two</p><div class="ad">Buy</div><form>f</form><section id=comments><p>hi</p></section></article></main></div><footer>&copy;</footer></body></html>'
+    rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", page.replace("post-3", "post-4")), (3, "http://a.b/3", "<p>only this<p>and that"), (4, None, None), (5, "http://A.B/x", ""), (6, "x", "<article>cut off <b>he")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.extract_main_text(pages).collect()}
+    assert [got[i]["text"] for i in range(1, 7)] == ["Ti&tle One bold x y z Two"] * 2 + ["only this and that", "", "", "cut off he"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert {r["host"]: r["path"] for r in html_extract.host_paths(pages).collect()}["a.b"].endswith("/article.post-#")
+    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, sf))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert 0 < docs.count() <= before
+        before = docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.count() > 0 and corpus_pipeline.run(spark, sf).count() == last.count()
