@@ -64,7 +64,7 @@ def steps(lo: float, hi: float, by: float) -> list[float]:
 GRIDS = {
     "threshold": [(t,) for t in steps(0.3, 0.96, 0.025)],
     "top1_plus": [(a, b) for a in steps(0.1, 0.8, 0.1) for b in steps(0.5, 0.96, 0.05) if b >= a],
-    "relative": [(t, r) for t in steps(0.3, 0.9, 0.05) for r in (0.5, 0.7, 0.8)],
+    "relative": [(t, r) for t in steps(0.3, 0.91, 0.05) for r in (0.5, 0.7, 0.8)],
     "expected_f": [(c,) for c in (0.0, 0.05, 0.1, 0.2)],
     "gated": [(e, a, b) for e in steps(0.0, 0.81, 0.1) for a in steps(0.2, 0.61, 0.1) for b in steps(0.6, 0.86, 0.05)],
 }
