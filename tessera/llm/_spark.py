@@ -29,6 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    # The shuffle files behind what is written now would else stay until the driver happens to collect its garbage.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,9 @@ from ._sketch import filter_of, has_bits, merged, pack
 from ._spark import cut
 from ._tokens import SPACE, U, grams, mix, tokens
 
-SLOT_BITS = 20
+SLOT_BITS = 21
+#: Parts over which the shingles of a set are counted, for a bound on overlaps.
+PARTS = 256
 #: Rows that one candidate pair costs: two sets are sent and compared.
 PAIR_COST = 50
 #: Rounds of one verification per member, and how many pairs per member may be left for the last one.
@@ -125,8 +127,8 @@ def boundary(counts: np.ndarray, percent: int) -> int:
     return size
 
 
-def _postings(k: int, percent: int, sketch, light: int):
-    """bucket, id, n of the first document of each set in a partition. sketch: broadcast counts by slot."""
+def _postings(k: int, percent: int, sketch, light: int, bits=None):
+    """bucket, id, n of the first document of each set in a partition, of buckets in a filter if there is one. sketch: broadcast counts by slot; bits: broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -162,13 +164,16 @@ def _postings(k: int, percent: int, sketch, light: int):
                     buckets.append(mix(mix(p[a]) * U(3) + p[a + step]))
                     rows.append(q[a])
                 b, d = np.concatenate(buckets), np.concatenate(rows)
+                if bits is not None:
+                    some = has_bits(bits.value, mix(b))
+                    b, d = b[some], d[some]
                 yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(ids[lo + d].astype(np.int64)), pa.array(size[d].astype(np.int32))], ["bucket", "id", "n"])
 
     return run
 
 
 def _fetched(k: int, bits):
-    """id, n and shingles of the documents in a filter. bits: broadcast filter."""
+    """id, n, counts (of shingles by part) and shingles of the documents in a filter. bits: broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,14 +182,16 @@ def _fetched(k: int, bits):
             part = batch.take(pa.array(wanted))
             ids = ids[wanted]
             for lo, hi, g, r in _sets(part.column(1), k):
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=hi - lo))])
-                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(g.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), sets], ["id", "shingles"])
+                n = np.bincount(r, minlength=hi - lo)
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(g.view(np.int64)))
+                parts = np.bincount(r * PARTS + ((g >> U(8)) % U(PARTS)).astype(np.int64), minlength=(hi - lo) * PARTS)
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * PARTS, pa.int32()), pa.array(parts.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int32)), counts, sets], ["id", "n", "counts", "shingles"])
 
     return run
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(U)).view(np.int64))], ["key"])
@@ -192,12 +199,22 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs whose sets link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().mapInArrow(_mixed, "key long")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().mapInArrow(_keys, "key long")
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
-    sets = cut(docs.mapInArrow(_fetched(k, bits), "id long, shingles array<bigint>").dropDuplicates(["id"]))
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return cut(joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    # Rows of one doc_id are alike, or compared under the first one's set.
+    sets = cut(docs.mapInArrow(_fetched(k, bits), "id long, n int, counts array<int>, shingles array<bigint>"))
+    first = sets if sets.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty() else sets.dropDuplicates(["id"])
+
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(first.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return pairs
+
+    fits = lambda both, na, nb: 100 * both >= percent * (na + nb - both)
+    bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    near = cut(joined(pairs, "n", "counts").where(fits(bound, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return cut(joined(near, "shingles").where(fits(both, F.size("shingles_a"), F.size("shingles_b"))).select("a", "b"))
 
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -211,9 +228,10 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     classes = cut(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")))
     light = boundary(counts, percent)
     sketch = spark.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-    postings = docs.mapInArrow(_postings(k, percent, sketch, light), "bucket long, id long, n int")
-    shared = postings.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket")
-    members = cut(postings.join(shared, "bucket"))
+    postings = lambda bits=None: docs.mapInArrow(_postings(k, percent, sketch, light, bits), "bucket long, id long, n int")
+    shared = cut(postings().groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket"))
+    bits = spark.sparkContext.broadcast(filter_of(shared.mapInArrow(_keys, "key long")))
+    members = cut(postings(bits).join(shared, "bucket"))
     # Members are named by their class, so that copies from other partitions fall together.
     named = rows.join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("id"), "cid").dropDuplicates(["id"])
     members = members.join(named, "id").groupBy("bucket", "cid").agg(F.first("n").alias("n"))
