@@ -44,8 +44,8 @@ def _part(p: Column, q: Column) -> Column:
     return term(p) + term(q)
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """lang, shares of classes, map of common words to shares: at most MOST_LANGS rows."""
+def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """lang, shares of classes, map of common words to shares: at most MOST_LANGS rows; and all common words."""
     n = len(CLASSES) + 1
     classes = _class_counts(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(n)))
     per_lang = {r["lang"]: r for r in classes.orderBy(F.desc("docs"), "lang").limit(MOST_LANGS + 1).collect()}
@@ -60,7 +60,8 @@ def references(docs: DataFrame) -> DataFrame:
         common = {x["word"]: x["n"] for x in r["found"] if x["n"] * COMMON >= r["total"]}
         some, chars = sum(common.values()), [per_lang[r["lang"]][f"c{i}"] for i in range(n)]
         rows.append((r["lang"], [c / sum(chars) for c in chars], {w: c / some for w, c in sorted(common.items())}))
-    return docs.sparkSession.createDataFrame(rows, "ref_lang string, ref_classes array<double>, ref_words map<string,double>")
+    words = sorted({w for r in rows for w in r[2]})
+    return docs.sparkSession.createDataFrame(rows, "ref_lang string, ref_classes array<double>, ref_words map<string,double>"), words
 
 
 def _repeats(words: Column) -> Column:
@@ -95,7 +96,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, min_words: int = 30, most_class: float = 0.22, most_word: float = 0.8) -> DataFrame:
     """The base columns, class_distance and word_distance (null where not compared), and kept."""
-    refs = references(docs.select("lang", F.coalesce("text", F.lit("")).alias("text")))
+    refs, known = references(docs.select("lang", F.coalesce("text", F.lit("")).alias("text")))
     judged = _class_counts(base_columns(docs)).join(F.broadcast(refs), F.col("lang") == F.col("ref_lang"), "left")
     n = len(CLASSES) + 1
     chars = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
@@ -109,7 +110,8 @@ def quality_rules(docs: DataFrame, min_words: int = 30, most_class: float = 0.22
         total = lambda b: F.aggregate(b, F.lit(1.0), lambda a, x: a + _part(x["p"], x["q"]) - x["q"])
         return F.when(F.size(found) == 0, F.lit(2.0)).otherwise(let(let(firsts, bins), total))
 
-    common = F.array_sort(F.filter("words", lambda w: F.map_contains_key("ref_words", w)))
+    # One look into a hash set of all languages' words spares most words the walk through the language's map.
+    common = F.array_sort(F.filter("words", lambda w: w.isin(known) & F.map_contains_key("ref_words", w)))
     judge = F.col("ref_lang").isNotNull() & (F.col("n_words") >= min_words)
     root = lambda x: F.sqrt(F.greatest(x / 2, F.lit(0.0)))
     judged = judged.withColumn("class_distance", F.when(judge, root(by_class))).withColumn("word_distance", F.when(judge & (F.size("ref_words") > 0), root(let(common, by_word))))
