@@ -327,9 +327,9 @@ def _pool(spark, sf):
 @query(f"""WITH {SCORED}, w AS (SELECT qi, pj, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pj) AS r FROM scored), ref AS (SELECT a.qi, a.pj, b.pj AS ref FROM w a LEFT JOIN w b ON a.qi = b.qi AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END),
 tri AS (SELECT p_partkey, list_distinct([substr(' ' || lower(p_name) || ' ', i, 3) for i in range(1, length(p_name) + 1)]) AS x, list_distinct([substr(' ' || lower(p_type) || ' ', i, 3) for i in range(1, length(p_type) + 1)]) AS t, p_size FROM part)
 SELECT qi, pj, ref, CASE WHEN ref IS NOT NULL THEN round(len(list_intersect(a.x, b.x)) / CAST(len(list_distinct(list_concat(a.x, b.x))) AS DOUBLE), 6) END AS s2_sib_name_j, CASE WHEN ref IS NOT NULL THEN round(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 6) END AS s2_sib_addr_j,
- CASE WHEN b.p_size IS NULL THEN NULL WHEN a.p_size = b.p_size THEN 1 ELSE 0 END AS s2_sib_num FROM ref JOIN tri a ON a.p_partkey = pj LEFT JOIN tri b ON b.p_partkey = ref WHERE qi % 10 = 1""")
+ CASE WHEN b.p_size IS NULL THEN NULL WHEN a.p_size = b.p_size THEN 1 ELSE 0 END AS s2_sib_num FROM ref JOIN tri a ON a.p_partkey = pj LEFT JOIN tri b ON b.p_partkey = ref""")
 def sibling_features(spark, sf):
-    return rounded(group.sibling_features(V.scored(spark, sf).where("qi % 10 = 1"), _pool(spark, sf)), "s2_sib_name_j", "s2_sib_addr_j")
+    return rounded(group.sibling_features(V.scored(spark, sf), _pool(spark, sf)), "s2_sib_name_j", "s2_sib_addr_j")
 
 
 @query(f"""WITH {VECTORS}, d AS (SELECT f.qi, f.pj, round(abs(cos), 6) AS p, CASE WHEN f.pj % 2 = 0 THEN 'S2' ELSE 'S3' END AS src, v, f.pj % 7 AS core, row_number() OVER (PARTITION BY f.qi ORDER BY round(abs(cos), 6) DESC, f.pj) AS rk FROM fwd f JOIN p ON p.pj = f.pj),
