@@ -13,8 +13,6 @@ each row is judged by itself, so ties cannot arise. Other columns of the input a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +45,22 @@ def _part(p: Column, q: Column) -> Column:
 def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """lang, shares of classes, map of common words to shares: at most MOST_LANGS rows; and all common words."""
     n = len(CLASSES) + 1
-    classes = _class_counts(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(n)))
+    split = pieces(F.col("text"), GAP)
+    classes = _class_counts(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(split)).alias("words"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(n)))
     per_lang = {r["lang"]: r for r in classes.orderBy(F.desc("docs"), "lang").limit(MOST_LANGS + 1).collect()}
-    every = sum(r["docs"] for r in per_lang.values())
-    langs = sorted(k for k, r in per_lang.items() if k is not None and r["docs"] * MOST_LANGS >= every and sum(r[f"c{i}"] for i in range(n)))
-    counted = docs.where(F.col("lang").isin(langs)).select("lang", F.explode(pieces(F.col("text"), GAP)).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    # A share of the characters bounds the share of the words from below: only such words can pass the filter on exact shares.
-    floor = reduce(lambda c, k: c.when(F.col("lang") == k, sum(per_lang[k][f"c{i}"] for i in range(n)) // (COMMON * 40)), langs, F.when(F.lit(False), 0))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.array_agg(F.when(F.col("n") >= floor, F.struct("word", "n"))).alias("found"))
+    every = classes.agg(F.sum("docs")).collect()[0][0] if len(per_lang) > MOST_LANGS else sum(r["docs"] for r in per_lang.values())
+    langs = sorted(k for k, r in per_lang.items() if k is not None and r["docs"] * MOST_LANGS >= every and r["words"])
+    common = F.lit(False)
+    for k in langs:
+        common = F.when(F.col("lang") == k, F.col("n") * COMMON >= per_lang[k]["words"]).otherwise(common)
+    counted = docs.where(F.col("lang").isin(langs)).select("lang", F.explode(split).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(common)
+    found: dict[str, dict[str, int]] = {k: {} for k in langs}
+    for r in counted.collect():  # at most COMMON rows for each language
+        found[r["lang"]][r["word"]] = r["n"]
     rows = []
-    for r in totals.collect():
-        common = {x["word"]: x["n"] for x in r["found"] if x["n"] * COMMON >= r["total"]}
-        some, chars = sum(common.values()), [per_lang[r["lang"]][f"c{i}"] for i in range(n)]
-        rows.append((r["lang"], [c / sum(chars) for c in chars], {w: c / some for w, c in sorted(common.items())}))
+    for k in langs:
+        some, chars = sum(found[k].values()), [per_lang[k][f"c{i}"] for i in range(n)]
+        rows.append((k, [c / sum(chars) for c in chars], {w: c / some for w, c in sorted(found[k].items())}))
     words = sorted({w for r in rows for w in r[2]})
     return docs.sparkSession.createDataFrame(rows, "ref_lang string, ref_classes array<double>, ref_words map<string,double>"), words
 
