@@ -10,7 +10,7 @@ these meet in a tree of FAN-fold nodes until one per source is left and drawn. S
 target by less than one document.
 
 Random numbers come from source, bucket and level, so that reruns agree. A null or empty text has size 0 and is never
-taken. A null source is a source of its own. Repeated rows are each mixed, and of rows alike any may be taken. A table
+taken. A null source is a source of its own, and rows without a doc_id are mixed like others. Repeated rows are each mixed, and of rows alike any may be taken. A table
 without words has targets of 0; an empty table gives none. Other columns are kept by ``mix`` and ignored by the query.
 """
 
@@ -30,7 +30,7 @@ from ._spark import cut
 BUCKET, FAN, SEED = 2_000, 64, 17
 #: So many sources are joined by broadcast; more are joined by a shuffle.
 FEW_SOURCES = 50_000
-ROUNDED = "doc_id long, source string, size long, source_size long, target double, whole long, p double, bucket long"
+ROUNDED = "doc_id string, source string, size long, source_size long, target double, whole long, p double, bucket long"
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -84,7 +84,7 @@ def _round(level: int, last: bool):
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: a row for each row of docs."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = cut(sized)
     sources = cut(targets(sized, weights, most))
     small = sources.agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("docs")).collect()[0]
@@ -108,11 +108,12 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
         rows = rows.unionByName(more)
     copies = F.col("whole") + F.when(F.col("size") > 0, F.col("p").cast("long")).otherwise(0)
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken, with copy_no from 1. doc_id is taken for a key."""
     taken = mix_sizes(docs, weights, most).where("copies > 0").select("doc_id", "copies")
     taken = taken.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(taken, "doc_id").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns, "copy_no")
+    joined = docs.withColumn("_of", F.col("doc_id").cast("long")).join(taken.withColumnRenamed("doc_id", "_id"), F.col("_of").eqNullSafe(F.col("_id")))
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns, "copy_no")

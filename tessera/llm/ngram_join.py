@@ -16,7 +16,8 @@ such pairs are left (or after ROUNDS), all of them are verified, so that no link
 sets are fetched from the documents again through a filter of a fixed size, and verified on whole sets.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; shingles are compared by 64-bit hashes, equal sets by 128 bits.
-Null, empty and blank texts have empty sets, link with nothing and are components of their own. Repeated rows count as
+Null, empty and blank texts have empty sets, link with nothing and are components of their own. A row without a doc_id
+links with nothing and has no component. Repeated rows count as
 copies. doc_id is the key: rows of one doc_id with different texts are compared each, under the same name. Ties go to
 the smaller doc_id. Other columns are ignored; an empty table gives none.
 """
@@ -221,11 +222,13 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = cut(docs.mapInArrow(_summaries(k), "doc_id long, n long, s1 long, s2 long, sketch binary"))
+    whole, docs = docs, docs.where("doc_id is not null")
+    summary = cut(whole.mapInArrow(_summaries(k), "doc_id long, n long, s1 long, s2 long, sketch binary"))
     counts = merged(summary.where("sketch is not null").select("sketch"), "sum")
     counts = np.zeros(1 << SLOT_BITS, np.int64) if counts is None else counts
-    rows = summary.where("sketch is null").drop("sketch")
-    classes = cut(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")))
+    every = summary.where("sketch is null").drop("sketch")
+    rows = every.where("n > 0 and doc_id is not null")
+    classes = cut(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")))
     light = boundary(counts, percent)
     sketch = spark.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
     postings = lambda bits=None: docs.mapInArrow(_postings(k, percent, sketch, light, bits), "bucket long, id long, n int")
@@ -272,8 +275,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     else:
         found = components(links)
         known = classes.join(found, F.col("cid") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cid").alias("component_id"))
-    linked = rows.where("n > 0").join(cut(known), ["s1", "s2"])
-    alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    linked = rows.join(cut(known), ["s1", "s2"])
+    alone = every.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 

@@ -365,3 +365,15 @@ def test_pipeline(spark, sf):
         before = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() > 0 and corpus_pipeline.run(spark, sf).count() == last.count()
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c d e f g h", "en", "s", 1, "x", 1, 1, 1), (2**60 + 1, "a b c d e f g h", "en", "s", 1, "x", 1, 1, 1), (2**60 + 3, "a b c d e f g h", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ids = sorted([None, None, 2**60 + 1, 2**60 + 3], key=str)
+    bench, labels = spark.createDataFrame([(1, "zz")], "item_id long, text string"), spark.createDataFrame([(None, 1), (2**60 + 1, None)], "doc_id long, quality int")
+    for got in (pii.find_pii(docs), license_scan.license_scan(docs), quality_rules.quality_rules(docs), mixing.mix_sizes(docs), line_dedup.dedup_lines(docs), class_lm.class_lm(docs), decontaminate.mark(docs, bench), quality_classifier.classify(docs, labels), ngram_join.ngram_join(docs)):
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == ids
+    found = sorted(map(tuple, ngram_join.ngram_join(docs).collect()), key=str)
+    assert found == sorted([(2**60 + 1, 5, 2**60 + 1), (2**60 + 3, 5, 2**60 + 1), (None, 5, None), (None, 0, None)], key=str)
+    assert mixing.mix(docs).count() >= 1
