@@ -29,16 +29,17 @@ def scored_pairs(q: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def merge_edges(forward: DataFrame, reverse: DataFrame) -> DataFrame:
-    """Edges of either direction with the context of the search. A rank is null where its direction didn't find the edge."""
-    top_q = forward.groupBy("qi").agg(F.max("cos").alias("q_top1"))
-    top_p = reverse.groupBy("pj").agg(F.max("cos").alias("p_top1"))
+    """Edges of either direction with the context of the search. A rank is null where its direction didn't find the edge.
+
+    The best edge of every query is among the forward edges, and that of every pool record among the reverse ones, so
+    that the best scores are windows over the merged edges and need no join."""
     f, r = forward.select("qi", "pj", "cos", "fwd_rank"), reverse.select("qi", "pj", F.col("cos").alias("cos_r"), "rev_rank")
     e = f.join(r, ["qi", "pj"], "full_outer").withColumn("cos", F.coalesce("cos", "cos_r")).drop("cos_r")
-    e = e.join(top_q, "qi", "left").join(top_p, "pj", "left")
+    q, p = Window.partitionBy("qi"), Window.partitionBy("pj")
     mutual = F.coalesce((F.col("fwd_rank") == 0) & (F.col("rev_rank") == 0), F.lit(False)).cast("int")
     return e.select(
-        "qi", "pj", "cos", "fwd_rank", "rev_rank", F.round(F.col("q_top1") - F.col("cos"), 6).alias("gap_q"), F.round(F.col("p_top1") - F.col("cos"), 6).alias("rev_margin"),
-        mutual.alias("mutual"), F.count(F.lit(1)).over(Window.partitionBy("qi")).alias("n_cand_q"),
+        "qi", "pj", "cos", "fwd_rank", "rev_rank", F.round(F.max("cos").over(q) - F.col("cos"), 6).alias("gap_q"), F.round(F.max("cos").over(p) - F.col("cos"), 6).alias("rev_margin"),
+        mutual.alias("mutual"), F.count(F.lit(1)).over(q).alias("n_cand_q"),
     )
 
 
