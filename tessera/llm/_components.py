@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ._spark import cut
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself: then that is its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that links reach, for every node of a link.
 
-    Alternating large and small stars: the links of each node are rehung to the smallest node it knows, until no link
-    changes. A round costs two aggregations; a node's neighbours are never gathered, only their minimum is.
+    Alternating large and small stars: the links of each node are rehung to the smallest node it knows, until they
+    are stars. A round costs two aggregations; a node's neighbours are never gathered, only their minimum is.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
     edges = cut(edges)
-    before = None
-    while True:
+    while not _stars(edges):
         # Large star: of every node, its larger neighbours go to the smallest node among it and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,9 +31,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Sketches that one task merges.
-FAN = 16
+#: Sketches that one task merges; how many the driver does; tasks that mark keys (a key is eight bytes, and marking it some nanoseconds).
+FAN, LAST, MARKERS = 16, 4, 64
 
 
 def _merge(kind: str):
@@ -38,11 +38,11 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
 def merged(sketches: DataFrame, kind: str) -> np.ndarray | None:
     """The sum (or, of bits, the union) of a column of packed sketches, by a tree of tasks."""
     n = sketches.rdd.getNumPartitions()
-    while n > FAN:
+    while n > LAST:
         n = -(-n // FAN)
         sketches = sketches.coalesce(n).mapInArrow(_merge(kind), "sketch binary")
     total = None
-    for row in sketches.toLocalIterator():
+    for row in sketches.collect():
         if row[0] is not None:
             part = unpack(bytes(row[0]), kind)
             total = part.copy() if total is None else (total | part if kind == "bits" else total + part)
@@ -77,5 +77,5 @@ def filter_of(keys: DataFrame) -> np.ndarray:
             set_bits(bits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array([pack(bits)], pa.binary())], ["sketch"])
 
-    found = merged(keys.mapInArrow(run, "sketch binary"), "bits")
+    found = merged(keys.coalesce(MARKERS).mapInArrow(run, "sketch binary"), "bits")
     return np.zeros(1 << (BITS - 3), np.uint8) if found is None else found

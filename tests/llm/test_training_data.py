@@ -377,3 +377,23 @@ def test_rows_without_an_id(spark):
     found = sorted(map(tuple, ngram_join.ngram_join(docs).collect()), key=str)
     assert found == sorted([(2**60 + 1, 5, 2**60 + 1), (2**60 + 3, 5, 2**60 + 1), (None, 5, None), (None, 0, None)], key=str)
     assert mixing.mix(docs).count() >= 1
+
+
+def test_components(spark):
+    from tessera.llm._components import components
+
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in got} and set(got) == {x for a, b in links if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
