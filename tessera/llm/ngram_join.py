@@ -10,8 +10,8 @@ sets, and light ones that can link with heavy ones, stand in the inverted lists
 which are scanned. The boundary in set size is chosen by cost: enumerating pays as long as its rows cost less than the
 rows and candidates of list scanning, given the list lengths that the sketch estimates.
 
-Buckets (subsets and lists) do not emit all their pairs. In each round every member is verified against one member of
-its bucket, and components of verified links are formed; only members of different components need more. When few
+Buckets (subsets and lists) do not emit all their pairs. In each round every member is verified against some members
+of its bucket (one at first, then twice as many each time), and components of verified links are formed; only members of different components need more. When few
 such pairs are left (or after ROUNDS), all of them are verified, so that no link between components is lost. Candidate
 sets are fetched from the documents again through a filter of a fixed size, and verified on whole sets.
 
@@ -41,8 +41,8 @@ SLOT_BITS = 21
 PARTS = 256
 #: Rows that one candidate pair costs: two sets are sent and compared.
 PAIR_COST = 50
-#: Rounds of one verification per member, and how many pairs per member may be left for the last one.
-ROUNDS, LEFT = 6, 4
+#: Rounds of 1, 2, 4, ... verifications per member, and how many pairs per member may be left for the last one.
+ROUNDS, LEFT = 4, 4
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -259,7 +259,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         if last:
             pairs = at.join(other, "bucket").where(F.col("cid") < F.col("cid2"))
         else:
-            drawn = other.groupBy("bucket").agg(F.min_by(F.struct("cid2", "n2", "component2"), F.struct(F.xxhash64("cid2", F.lit(turn)) if turn else F.col("cid2"), F.col("cid2"))).alias("x")).select("bucket", "x.*")
+            one = F.struct("cid2", "n2", "component2")
+            orders = [F.struct(F.col("cid2").alias("h"), "cid2")] if not turn else [F.struct(F.xxhash64("cid2", F.lit(turn), F.lit(i)).alias("h"), "cid2") for i in range(1 << turn)]
+            drawn = other.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by(one, o) for o in orders))).alias("x")).select("bucket", F.explode("x").alias("x")).select("bucket", "x.*")
             pairs = at.join(drawn, "bucket")
         pairs = pairs.where(fits).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
         if tried is not None:
