@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
 
+#: So many links (16 bytes each) are joined in one task; more by rounds of shuffles.
+FEW_LINKS = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of a table of links (u > v) that is known to be small."""
+    held = list(batches)
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(b.column(i).to_numpy(zero_copy_only=False) for b in held)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        # Each root takes the smallest root that a link of its tree reaches; then trees are made flat.
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        now = low[root]
+        if np.array_equal(now, root):
+            break
+        root = now
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most, which has none itself: then that is its component."""
@@ -17,11 +45,14 @@ def _stars(edges: DataFrame) -> bool:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that links reach, for every node of a link.
 
-    Alternating large and small stars: the links of each node are rehung to the smallest node it knows, until they
-    are stars. A round costs two aggregations; a node's neighbours are never gathered, only their minimum is.
+    A table of at most FEW_LINKS is worked on in one task. A larger one goes through alternating large and small stars:
+    the links of each node are rehung to the smallest node it knows, until they are stars. A round costs two
+    aggregations; a node's neighbours are never gathered, only their minimum is.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
     edges = cut(edges)
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_joined, "node long, component long")
     while not _stars(edges):
         # Large star: of every node, its larger neighbours go to the smallest node among it and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

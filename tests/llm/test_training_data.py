@@ -379,9 +379,13 @@ def test_rows_without_an_id(spark):
     assert mixing.mix(docs).count() >= 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10**6, 10])
+def test_components(spark, monkeypatch, few):
+    from tessera.llm import _components
     from tessera.llm._components import components
 
+    monkeypatch.setattr(_components, "FEW_LINKS", few)
+
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
     root = {}
