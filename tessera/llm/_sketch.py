@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._tokens import mix
+
 #: Sketches that one task merges; how many the driver does; tasks that mark keys (a key is eight bytes, and marking it some nanoseconds).
 FAN, LAST, MARKERS = 16, 4, 64
 
@@ -69,12 +71,12 @@ def has_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """A filter of one column of 64-bit keys."""
+    """A filter of one column of 64-bit keys, which are mixed first: has_bits(bits, mix(keys)) asks it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (BITS - 3), np.uint8)
         for batch in batches:
-            set_bits(bits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            set_bits(bits, mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
         yield pa.RecordBatch.from_arrays([pa.array([pack(bits)], pa.binary())], ["sketch"])
 
     found = merged(keys.coalesce(MARKERS).mapInArrow(run, "sketch binary"), "bits")

@@ -131,12 +131,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 25, long
     places = docs.mapInArrow(_places(long_line), "h long, doc_id long, line int")
     first = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "line")).alias("first")).where("times > 1").select("h", "first"))
 
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(h.view(U)).view(np.int64))], ["key"])
-
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(first.select("h").mapInArrow(mixed, "key long")))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(first.select("h")))
     found = cut(docs.mapInArrow(_repeated(long_line, bits), CHUNK).join(first, "h"))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
     kept = found.where(is_first).select("h", *(F.col(c).alias(f"k_{c}") for c in ("text", "before", "lines"))).dropDuplicates(["h"])

@@ -192,15 +192,9 @@ def _fetched(k: int, bits):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(U)).view(np.int64))], ["key"])
-
-
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs whose sets link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().mapInArrow(_keys, "key long")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
     # Rows of one doc_id are alike, or compared under the first one's set.
     sets = cut(docs.mapInArrow(_fetched(k, bits), "id long, n int, counts array<int>, shingles array<bigint>"))
@@ -233,7 +227,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     sketch = spark.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
     postings = lambda bits=None: docs.mapInArrow(_postings(k, percent, sketch, light, bits), "bucket long, id long, n int")
     shared = cut(postings().groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket"))
-    bits = spark.sparkContext.broadcast(filter_of(shared.mapInArrow(_keys, "key long")))
+    bits = spark.sparkContext.broadcast(filter_of(shared))
     members = cut(postings(bits).join(shared, "bucket"))
     # Members are named by their class, so that copies from other partitions fall together.
     named = rows.join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("id"), "cid").dropDuplicates(["id"])
