@@ -7,9 +7,14 @@ the lines around it, up to REACH on each side, as far as they are equal too. If
 passage of several lines (``min_lines`` with a word in them, or one line of ``long_line`` words; ``min_words`` words in
 all), the later occurrence is removed. Single short lines that repeat everywhere are no passage and stay.
 
-A line of long_line words or more is a chunk of its own. The chunks' hashes are counted in one aggregation with partial
-counts; the texts of repeated chunks alone are shuffled, picked by a filter of a fixed size. A chunk that a third of
-the documents share is one key of a join with its first occurrence, which adaptive execution splits.
+A chunk may cross the border of a short passage, so the shortest passages are looked up themselves as well: from each
+line with a word on, and up to it, the fewest lines that pass the test. Any passage holds the one from its first line on
+and the one up to its last, wherever it stands. They need no extension; one that overlaps its first
+occurrence is no second one.
+
+A line of long_line words or more is a chunk of its own. The hashes of chunks and shortest passages are counted in one
+aggregation with partial counts; the texts of repeated ones alone are shuffled, picked by a filter of a fixed size. A
+chunk that a third of the documents share is one key of a join with its first occurrence, which adaptive execution splits.
 
 Lines are parted by \\n. Null texts stay null, empty ones empty; a document whose lines all go keeps its row with an
 empty text. Repeated rows: all lines after the first row's are repeats, but rows of one doc_id are one document (the
@@ -52,23 +57,25 @@ class Chunks:
     """Lines and chunks of the texts of a slice."""
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, long_line: int):
+        self.raw, self.long_line = raw, long_line
         self.s, self.e, self.row = _lines(raw, at)
         n = len(self.s)
         self.h = hash_spans(raw, self.s, self.e)
         ws, _, _ = words(raw, at, SPACE)
         self.n_words = np.bincount(np.searchsorted(self.s, ws, "right") - 1, minlength=n) if len(ws) else np.zeros(n, np.int64)
+        last = np.r_[self.row[1:] != self.row[:-1], True]
+        first = np.r_[True, last[:-1]]
+        self.first_of_row = np.flatnonzero(first)
+        self.line_no = np.arange(n) - self.first_of_row[self.row]
         rolled = np.zeros(n, U)
         for j in range(WINDOW):
             before = np.roll(self.h, j)
-            before[: min(j, n)] = 0
+            before[self.line_no < j] = 0
             rolled = rolled * U(0x100000001B3) + before
-        last = np.r_[self.row[1:] != self.row[:-1], True]
-        first = np.r_[True, last[:-1]]
         ends = mix(rolled + U(9)) < U(int(ENDS * 2**64) - 1)
         long = self.n_words >= long_line
         ends |= last | long
         ends[:-1] |= long[1:]
-        self.first_of_row = np.flatnonzero(first)
         start = np.flatnonzero(np.r_[True, ends[:-1]])
         size = np.diff(np.append(start, n))
         # Chunks of very many lines are cut at each MOST_LINES.
@@ -78,19 +85,39 @@ class Chunks:
         self.start, self.size = start, size
         self.has_words = np.add.reduceat((self.n_words > 0).astype(np.int64), start) > 0
         self.chunk = hash_spans(raw, self.s[start], self.e[start + size - 1])
-        self.line_no = np.arange(n) - self.first_of_row[self.row]
-
 
-def _places(long_line: int):
-    """h, doc_id, line of every chunk with a word."""
+    def passages(self, min_lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, sizes and keys of the shortest passages from each line with a word on and up to it; long lines are chunks already."""
+        w = np.flatnonzero(self.n_words > 0)
+        n, at = len(w), np.arange(len(w))
+        total = np.append(0, np.cumsum(self.n_words[w]))
+        long = np.flatnonzero(self.n_words[w] >= self.long_line)
+        # The n-th line with a word is behind the last one, and -1 before the first: no passage.
+        next_long = np.append(long, n)[np.searchsorted(long, at)]
+        last_long = np.append(-1, long)[np.searchsorted(long, at, "right")]
+        enough = np.searchsorted(total, total[:-1] + min_words) - 1
+        to = np.maximum(np.minimum(at + max(min_lines, 1) - 1, next_long), np.maximum(enough, at))
+        enough = np.searchsorted(total, total[1:] - min_words, "right") - 1
+        since = np.minimum(np.maximum(at - max(min_lines, 1) + 1, last_long), np.minimum(enough, at))
+        a, b = np.concatenate([at, since]), np.concatenate([to, at])
+        there = (a >= 0) & (b < n)
+        a, b = w[a[there]], w[b[there]]
+        there = (self.row[a] == self.row[b]) & ((a != b) | (self.n_words[a] < self.long_line))
+        a, b = np.divmod(np.unique(a[there] * len(self.s) + b[there]), len(self.s))
+        return a, b - a + 1, mix(hash_spans(self.raw, self.s[a], self.e[b]) + U(0x70617373))
+
+
+def _places(min_lines: int, min_words: int, long_line: int):
+    """h, doc_id, line of every chunk with a word and every shortest passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, raw, at in slices(batch.column(1)):
                 c = Chunks(raw, at, long_line)
-                at_ = c.start[c.has_words]
-                yield pa.RecordBatch.from_arrays([pa.array(c.chunk[c.has_words].view(np.int64)), pa.array(ids[lo + c.row[at_]]), pa.array(c.line_no[at_].astype(np.int32))], ["h", "doc_id", "line"])
+                p, _, keys = c.passages(min_lines, min_words)
+                at_, keys = np.append(c.start[c.has_words], p), np.append(c.chunk[c.has_words], keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + c.row[at_]]), pa.array(c.line_no[at_].astype(np.int32))], ["h", "doc_id", "line"])
 
     return run
 
@@ -98,27 +125,30 @@ def _places(long_line: int):
 CHUNK = "h long, doc_id long, line int, n int, text string, before array<bigint>, lines array<bigint>, words_before array<int>, words array<int>"
 
 
-def _repeated(long_line: int, bits):
-    """The chunks in a filter with their text, and the hashes and sizes of up to REACH lines before and after (with their own). bits: broadcast filter."""
+def _repeated(min_lines: int, min_words: int, long_line: int, bits):
+    """The chunks and shortest passages in a filter with their text, and the hashes and sizes of their lines and, of chunks, up to REACH lines before and after. bits: broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, raw, at in slices(batch.column(1)):
                 c = Chunks(raw, at, long_line)
-                k = np.flatnonzero(c.has_words & has_bits(bits.value, mix(c.chunk)))
+                p, p_size, p_keys = c.passages(min_lines, min_words)
+                start, size, keys = np.append(c.start, p), np.append(c.size, p_size), np.append(c.chunk, p_keys)
+                reach = np.repeat([REACH, 0], [len(c.start), len(p)])
+                k = np.flatnonzero(np.append(c.has_words, np.ones(len(p), bool)) & has_bits(bits.value, mix(keys)))
                 if not len(k):
                     continue
-                s = c.start[k]
+                s, size, reach = start[k], size[k], reach[k]
                 row = c.row[s]
                 begin, end = c.first_of_row[row], np.append(c.first_of_row[1:], len(c.s))[row]
-                lo_ = np.maximum(begin, s - REACH)
-                hi = np.minimum(end, s + c.size[k] + REACH)
+                lo_ = np.maximum(begin, s - reach)
+                hi = np.minimum(end, s + size + reach)
                 part = lambda x, a, b, t: pa.array([x[i:j] for i, j in zip(a, b, strict=True)], pa.list_(t))
                 signed, n_words = c.h.view(np.int64), c.n_words.astype(np.int32)
-                texts = [raw[i:j].tobytes().decode() for i, j in zip(c.s[s], c.e[s + c.size[k] - 1], strict=True)]
+                texts = [raw[i:j].tobytes().decode() for i, j in zip(c.s[s], c.e[s + size - 1], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.chunk[k].view(np.int64)), pa.array(ids[lo + row]), pa.array(c.line_no[s].astype(np.int32)), pa.array(c.size[k].astype(np.int32)), pa.array(texts, pa.string()), part(signed, lo_, s, pa.int64()), part(signed, s, hi, pa.int64()), part(n_words, lo_, s, pa.int32()), part(n_words, s, hi, pa.int32())],
+                    [pa.array(keys[k].view(np.int64)), pa.array(ids[lo + row]), pa.array(c.line_no[s].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(texts, pa.string()), part(signed, lo_, s, pa.int64()), part(signed, s, hi, pa.int64()), part(n_words, lo_, s, pa.int32()), part(n_words, s, hi, pa.int32())],
                     ["h", "doc_id", "line", "n", "text", "before", "lines", "words_before", "words"],
                 )
 
@@ -128,14 +158,15 @@ def _repeated(long_line: int, bits):
 def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 25, long_line: int = 50) -> DataFrame:
     """doc_id, from_line, to_line (exclusive) of the runs of lines to remove."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    places = docs.mapInArrow(_places(long_line), "h long, doc_id long, line int")
+    places = docs.mapInArrow(_places(min_lines, min_words, long_line), "h long, doc_id long, line int")
     first = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "line")).alias("first")).where("times > 1").select("h", "first"))
 
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(first.select("h")))
-    found = cut(docs.mapInArrow(_repeated(long_line, bits), CHUNK).join(first, "h"))
+    found = cut(docs.mapInArrow(_repeated(min_lines, min_words, long_line, bits), CHUNK).join(first, "h"))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
     kept = found.where(is_first).select("h", *(F.col(c).alias(f"k_{c}") for c in ("text", "before", "lines"))).dropDuplicates(["h"])
-    again = found.where(~is_first).join(kept, "h").where(F.col("text") == F.col("k_text"))
+    overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") < F.col("first.line") + F.col("n"))
+    again = found.where(~is_first & ~overlaps).join(kept, "h").where(F.col("text") == F.col("k_text"))
 
     def equal(a, b):
         """How many of the first elements of a and b are equal."""

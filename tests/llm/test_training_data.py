@@ -297,6 +297,23 @@ def test_line_chunks_resynchronise(spark):
     assert caught >= 0.9 * again
 
 
+@pytest.mark.parametrize(("n_lines", "n_words"), [(2, 13), (2, 40), (3, 9), (3, 20), (5, 6)])
+def test_line_dedup_short_passages(spark, n_lines, n_words):
+    """Every passage of just the operator's limits is found, whatever stands around it; below the limits nothing is."""
+    rng = random.Random(n_lines * 100 + n_words)
+    line = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    rows, own, short = [], {}, [line(12), line(12)]
+    for i in range(60):
+        passage = [line(n_words) for _ in range(n_lines)]
+        passage.insert(1, "")
+        for j in range(2):
+            a, b = [line(8) for _ in range(rng.randint(1, 4))], [line(8) for _ in range(rng.randint(1, 4))]
+            rows.append((2 * i + j, "\n".join(a + passage + b + short)))
+            own[2 * i + j] = "\n".join(a + b + short) if j else rows[-1][1]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {i: g["text"] for i, g in got.items()} == own
+
+
 def test_quality_classifier(spark, empty):
     rng = random.Random(2)
     good, bad = [f"fine{i}" for i in range(80)], [f"###{i}$$" for i in range(80)]
