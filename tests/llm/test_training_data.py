@@ -360,6 +360,21 @@ def test_class_lm_is_a_distribution():
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_class_lm_rare_words_have_classes(spark, monkeypatch):
+    """Words far below one 2000th of the tokens are told apart by their neighbours, in the head and outside of it."""
+    rng = random.Random(5)
+    pair = lambda a, b: f"the noun{a} they verb{b}"
+    rows = [(i, " ".join(pair((i + 7 * k) % 600, (i + 7 * k) % 600) for k in range(10)) + " " + rng.choice("xyz")) for i in range(600)]
+    out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:8]
+    rows += [(i, "the noun5 they verb6" if k % 2 else "the verb6 they noun5") for k, i in enumerate(out)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for head in (class_lm.HEAD, 1000):
+        monkeypatch.setattr(class_lm, "HEAD", head)
+        got = by_id(class_lm.class_lm(docs))
+        good, bad = ([got[i]["score"] for k, i in enumerate(out) if k % 2 == odd] for odd in (1, 0))
+        assert min(good) > max(bad) + 1
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use</div><div class="box-12"><aside>side</aside><main><article class="post-3"><header>By</header><h1>Ti&amp;tle</h1><p>One <b>bo</b>ld&nbsp;x<script>var a="<p>no</p>"</script> y<br>z<p>Two</p><div class="ad">Buy</div><form>f</form><section id=comments><p>hi</p></section></article></main></div><footer>&copy;</footer></body></html>'
     rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", page.replace("post-3", "post-4")), (3, "http://a.b/3", "<p>only this<p>and that"), (4, None, None), (5, "http://A.B/x", ""), (6, "x", "<article>cut off <b>he")]
