@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._spark import cut
 
 #: So many links (16 bytes each) are joined in one task; more by rounds of shuffles.
-FEW_LINKS = 1_000_000
+FEW_LINKS = 100_000
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

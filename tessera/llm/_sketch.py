@@ -51,13 +51,14 @@ def merged(sketches: DataFrame, kind: str) -> np.ndarray | None:
     return total
 
 
-BITS = 25
+#: Bits of a filter: 2 to the power of LEAST at least and MOST (16 MB) at most. Beyond that more keys pass that are not in it.
+LEAST, MOST = 20, 27
 
 
 def set_bits(bits: np.ndarray, keys: np.ndarray) -> None:
-    """Marks 64-bit keys in a filter of 2**BITS bits; two places each."""
+    """Marks 64-bit keys in a filter; two places each."""
     for shift in (0, 32):
-        at = (keys >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+        at = (keys >> np.uint64(shift)) & np.uint64(len(bits) * 8 - 1)
         np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
 
 
@@ -65,19 +66,20 @@ def has_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may have been marked: all that were, and few others."""
     found = np.ones(len(keys), bool)
     for shift in (0, 32):
-        at = (keys >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+        at = (keys >> np.uint64(shift)) & np.uint64(len(bits) * 8 - 1)
         found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return found
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """A filter of one column of 64-bit keys, which are mixed first: has_bits(bits, mix(keys)) asks it."""
+    """A filter of one column of 64-bit keys, which are mixed first: has_bits(bits, mix(keys)) asks it. keys is read twice."""
+    size = min(MOST, max(LEAST, (16 * keys.count()).bit_length())) - 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (BITS - 3), np.uint8)
+        bits = np.zeros(1 << size, np.uint8)
         for batch in batches:
             set_bits(bits, mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
         yield pa.RecordBatch.from_arrays([pa.array([pack(bits)], pa.binary())], ["sketch"])
 
     found = merged(keys.coalesce(MARKERS).mapInArrow(run, "sketch binary"), "bits")
-    return np.zeros(1 << (BITS - 3), np.uint8) if found is None else found
+    return np.zeros(1 << size, np.uint8) if found is None else found

@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that are worked on together; one longer text is worked on whole.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 #: Separators of words of the kind [^\x20\x09-\x0D]+ and of the kind [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (after lower-casing A-Z).
 SPACE = np.zeros(256, bool)
