@@ -26,7 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    return dedup_lines(docs, counts=("n_lines", "n_removed"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,13 +143,18 @@ again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(rang
 b AS (SELECT doc_id, lang, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN again USING (doc_id)),
 c0 AS (SELECT doc_id, lang, n_words, len(text) AS chars, {counts} FROM b), c AS (SELECT *, chars - c0 - c1 - c2 - c3 - c4 - c5 AS c{n - 1} FROM c0),
-r AS (SELECT lang, count(*) AS docs, sum(n_words) AS words, sum(chars) AS chars, {", ".join(f"sum(c{i}) AS c{i}" for i in range(n))} FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING 100 * count(*) >= (SELECT count(*) FROM c) AND sum(n_words) > 0),
-rw AS (SELECT lang, word, n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE) AS q FROM (SELECT b.lang, x.word, count(*) AS n FROM b, unnest(b.w) x(word) GROUP BY 1, 2) y JOIN r USING (lang) WHERE n * 500 >= r.words),
-dw AS (SELECT b.doc_id, x.word, rw.q, count(*) AS n FROM b, unnest(b.w) x(word) JOIN rw ON rw.lang = b.lang AND rw.word = x.word GROUP BY 1, 2, 3),
+lw AS (SELECT b.lang, x.word, count(*) AS n FROM b, unnest(b.w) x(word) GROUP BY 1, 2),
+own AS (SELECT lang FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 2000),
+k AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN lang END AS key FROM c),
+r AS (SELECT key, sum(n_words) AS words, sum(chars) AS chars, {", ".join(f"sum(c{i}) AS c{i}" for i in range(n))} FROM k WHERE key IS NOT NULL GROUP BY key
+  UNION ALL SELECT NULL, sum(n_words), sum(chars), {", ".join(f"sum(c{i})" for i in range(n))} FROM k),
+kw AS (SELECT lang AS key, word, n FROM lw WHERE lang IN (SELECT lang FROM own) UNION ALL SELECT NULL, word, sum(n) FROM lw GROUP BY word),
+rw AS (SELECT kw.key, word, n / CAST(sum(n) OVER (PARTITION BY kw.key) AS DOUBLE) AS q FROM kw JOIN r ON kw.key IS NOT DISTINCT FROM r.key WHERE n * 500 >= r.words),
+dw AS (SELECT b.doc_id, x.word, rw.q, count(*) AS n FROM b JOIN k USING (doc_id), unnest(b.w) x(word) JOIN rw ON rw.key IS NOT DISTINCT FROM k.key AND rw.word = x.word GROUP BY 1, 2, 3),
 dp AS (SELECT doc_id, q, n / CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS p FROM dw),
 wd AS (SELECT doc_id, 1 + sum({part("p", "q")} - q) AS x FROM dp GROUP BY doc_id),
-j AS (SELECT b.*, b.n_words < 10 OR 100 * n_repeat_words > 20 * b.n_words AS base_failed, CASE WHEN r.lang IS NOT NULL AND b.n_words >= 30 THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance,
-  CASE WHEN b.n_words >= 30 AND r.lang IN (SELECT lang FROM rw) THEN sqrt(greatest(coalesce(wd.x, 2) / 2, 0)) END AS word_distance FROM b JOIN c USING (doc_id) LEFT JOIN r ON r.lang = b.lang LEFT JOIN wd ON wd.doc_id = b.doc_id)
+j AS (SELECT b.*, b.n_words < 10 OR 100 * n_repeat_words > 20 * b.n_words AS base_failed, CASE WHEN b.n_words >= 30 THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance,
+  CASE WHEN b.n_words >= 30 THEN sqrt(greatest(coalesce(wd.x, 2) / 2, 0)) END AS word_distance FROM b JOIN k c USING (doc_id) JOIN r ON r.key IS NOT DISTINCT FROM c.key LEFT JOIN wd ON wd.doc_id = b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(class_distance, 0) <= 0.22 AND coalesce(word_distance, 0) <= 0.8 AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM j"""
 
 
