@@ -1,25 +1,25 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of the last WINDOW lines decides where a chunk ends, so that boundaries depend on the
-lines at that place only and return after an insertion. Chunks that occur more than once in the corpus are compared
-byte by byte with their first occurrence (the smallest doc_id, then the first place), and the match is extended over
-the lines around it, up to REACH on each side, as far as they are equal too. If the run that is found this way is a
-passage of several lines (``min_lines`` with a word in them, or one line of ``long_line`` words; ``min_words`` words in
-all), the later occurrence is removed. Single short lines that repeat everywhere are no passage and stay.
+lines at that place only and return after an insertion. A chunk, or the run of lines inside one, that is a passage of
+several lines (``min_lines`` with a word in them, or one line of ``long_line`` words; ``min_words`` words in all) and
+occurs again in the corpus is compared byte by byte with its first occurrence (the smallest doc_id, then the first
+place) and removed. Single short lines that repeat everywhere are no passage and stay.
 
-A chunk may cross the border of a short passage, so the shortest passages are looked up themselves as well: from each
-line with a word on, and up to it, the fewest lines that pass the test. Any passage holds the one from its first line on
-and the one up to its last, wherever it stands. They need no extension; one that overlaps its first
-occurrence is no second one.
+A passage need not begin and end where chunks do. So the shortest passages at every place are looked up as well: from
+each line with a word on, and up to it, the fewest lines that pass the test. Those inside a repeated passage cover it
+from its first line with a word to its last, wherever chunks end: no passage is missed, and all that goes was compared
+by bytes. An occurrence that overlaps its first one is no second one.
 
 A line of long_line words or more is a chunk of its own. The hashes of chunks and shortest passages are counted in one
-aggregation with partial counts; the texts of repeated ones alone are shuffled, picked by a filter of a fixed size. A
-chunk that a third of the documents share is one key of a join with its first occurrence, which adaptive execution splits.
+aggregation with partial counts; the texts of repeated ones alone are shuffled, picked by a filter of a fixed size, and
+once for all their places in a batch. A passage that a third of the documents share is thus one row for each batch.
 
 Lines are parted by \\n. Null texts stay null, empty ones empty; a document whose lines all go keeps its row with an
-empty text. Repeated rows: all lines after the first row's are repeats, but rows of one doc_id are one document (the
-first place within them counts). Ties go to the smaller doc_id, then the earlier line. Other columns are kept by
-``dedup_lines``; an empty table gives none.
+empty text. Repeated rows: all passages after the first row's are repeats, but rows of one doc_id are one document (the
+first place within them counts). Rows without a doc_id stay as they are. Ties go to the smaller doc_id, then the earlier
+line. Very long texts and chunks are worked on whole. Other columns are kept by ``dedup_lines``, whatever their names;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +37,9 @@ from ._sketch import filter_of, has_bits
 from ._spark import cut
 from ._tokens import SPACE, U, hash_spans, mix, slices, words
 
-WINDOW, REACH, MOST_LINES = 2, 8, 16
+WINDOW = 2
 #: A chunk ends where the rolling hash falls below this share of its range.
-ENDS = 0.8
+ENDS = 0.3
 
 
 def _lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,16 +79,18 @@ class Chunks:
         ends[:-1] |= long[1:]
         start = np.flatnonzero(np.r_[True, ends[:-1]])
         size = np.diff(np.append(start, n))
-        # Chunks of very many lines are cut at each MOST_LINES.
-        if (size > MOST_LINES).any():
-            more = np.concatenate([np.arange(a, a + k, MOST_LINES) for a, k in zip(start, size, strict=True)])
-            start, size = more, np.diff(np.append(more, n))
         self.start, self.size = start, size
-        self.has_words = np.add.reduceat((self.n_words > 0).astype(np.int64), start) > 0
         self.chunk = hash_spans(raw, self.s[start], self.e[start + size - 1])
 
     def passages(self, min_lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, sizes and keys of the shortest passages from each line with a word on and up to it; long lines are chunks already."""
+        """Starts, sizes and keys of the chunks that are passages, and of the shortest passages from each line with a word on and up to it."""
+        full, total = (np.add.reduceat(x, self.start) for x in ((self.n_words > 0).astype(np.int64), self.n_words))
+        own = (total >= min_words) & ((full >= min_lines) | (np.maximum.reduceat(self.n_words, self.start) >= self.long_line))
+        start, size, keys = self.shortest(min_lines, min_words)
+        return np.append(self.start[own], start), np.append(self.size[own], size), np.append(self.chunk[own], keys)
+
+    def shortest(self, min_lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shortest passages; long lines are chunks already."""
         w = np.flatnonzero(self.n_words > 0)
         n, at = len(w), np.arange(len(w))
         total = np.append(0, np.cumsum(self.n_words[w]))
@@ -108,49 +111,39 @@ class Chunks:
 
 
 def _places(min_lines: int, min_words: int, long_line: int):
-    """h, doc_id, line of every chunk with a word and every shortest passage."""
+    """h, doc_id, line of every passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, raw, at in slices(batch.column(1)):
                 c = Chunks(raw, at, long_line)
-                p, _, keys = c.passages(min_lines, min_words)
-                at_, keys = np.append(c.start[c.has_words], p), np.append(c.chunk[c.has_words], keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + c.row[at_]]), pa.array(c.line_no[at_].astype(np.int32))], ["h", "doc_id", "line"])
+                start, _, keys = c.passages(min_lines, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + c.row[start]]), pa.array(c.line_no[start].astype(np.int32))], ["h", "doc_id", "line"])
 
     return run
 
 
-CHUNK = "h long, doc_id long, line int, n int, text string, before array<bigint>, lines array<bigint>, words_before array<int>, words array<int>"
-
-
 def _repeated(min_lines: int, min_words: int, long_line: int, bits):
-    """The chunks and shortest passages in a filter with their text, and the hashes and sizes of their lines and, of chunks, up to REACH lines before and after. bits: broadcast filter."""
+    """h, n (lines) and text of the passages in a filter, and their places in a batch. bits: broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for lo, _, raw, at in slices(batch.column(1)):
                 c = Chunks(raw, at, long_line)
-                p, p_size, p_keys = c.passages(min_lines, min_words)
-                start, size, keys = np.append(c.start, p), np.append(c.size, p_size), np.append(c.chunk, p_keys)
-                reach = np.repeat([REACH, 0], [len(c.start), len(p)])
-                k = np.flatnonzero(np.append(c.has_words, np.ones(len(p), bool)) & has_bits(bits.value, mix(keys)))
-                if not len(k):
-                    continue
-                s, size, reach = start[k], size[k], reach[k]
-                row = c.row[s]
-                begin, end = c.first_of_row[row], np.append(c.first_of_row[1:], len(c.s))[row]
-                lo_ = np.maximum(begin, s - reach)
-                hi = np.minimum(end, s + size + reach)
-                part = lambda x, a, b, t: pa.array([x[i:j] for i, j in zip(a, b, strict=True)], pa.list_(t))
-                signed, n_words = c.h.view(np.int64), c.n_words.astype(np.int32)
-                texts = [raw[i:j].tobytes().decode() for i, j in zip(c.s[s], c.e[s + size - 1], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[k].view(np.int64)), pa.array(ids[lo + row]), pa.array(c.line_no[s].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(texts, pa.string()), part(signed, lo_, s, pa.int64()), part(signed, s, hi, pa.int64()), part(n_words, lo_, s, pa.int32()), part(n_words, s, hi, pa.int32())],
-                    ["h", "doc_id", "line", "n", "text", "before", "lines", "words_before", "words"],
-                )
+                start, size, keys = c.passages(min_lines, min_words)
+                k = np.flatnonzero(has_bits(bits.value, mix(keys)))
+                s, size = start[k], size[k]
+                data = raw.tobytes()
+                for h, a, b, *place in zip(keys[k].view(np.int64).tolist(), c.s[s].tolist(), c.e[s + size - 1].tolist(), ids[lo + c.row[s]].tolist(), c.line_no[s].tolist(), size.tolist(), strict=True):
+                    found.setdefault((h, data[a:b]), []).append(tuple(place))
+            places = [x for p in found.values() for x in p]
+            columns = [pa.array([p[i] for p in places], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            offsets = pa.array(np.cumsum([0, *map(len, found.values())]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["doc_id", "line", "n"]))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([t.decode() for _, t in found], pa.string()), lists], ["h", "text", "places"])
 
     return run
 
@@ -162,59 +155,57 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 25, long
     first = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "line")).alias("first")).where("times > 1").select("h", "first"))
 
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(first.select("h")))
-    found = cut(docs.mapInArrow(_repeated(min_lines, min_words, long_line, bits), CHUNK).join(first, "h"))
-    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    kept = found.where(is_first).select("h", *(F.col(c).alias(f"k_{c}") for c in ("text", "before", "lines"))).dropDuplicates(["h"])
-    overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") < F.col("first.line") + F.col("n"))
-    again = found.where(~is_first & ~overlaps).join(kept, "h").where(F.col("text") == F.col("k_text"))
-
-    def equal(a, b):
-        """How many of the first elements of a and b are equal."""
-        both = F.least(F.size(a), F.size(b))
-        unequal = F.filter(F.sequence(F.lit(0), both), lambda i: (i == both) | (F.get(a, i) != F.get(b, i)))
-        return F.array_min(unequal)
-
-    again = again.withColumn("up", equal(F.reverse("before"), F.reverse("k_before"))).withColumn("down", equal("lines", "k_lines"))
-    own = F.concat(F.slice(F.reverse("words_before"), 1, F.col("up")), F.slice("words", 1, F.col("down")))
-    again = again.withColumn("run", own)
-    full = F.size(F.filter("run", lambda w: w > 0))
-    enough = (F.aggregate("run", F.lit(0), lambda a, w: a + w) >= min_words) & ((full >= min_lines) | (F.array_max("run") >= long_line))
-    return again.where(enough).select("doc_id", (F.col("line") - F.col("up")).alias("from_line"), (F.col("line") + F.col("down")).alias("to_line"))
-
-
-def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 25, long_line: int = 50) -> DataFrame:
-    """docs without the later occurrences of repeated passages; n_chars, if there is one, follows. Adds _n_lines and _n_removed."""
-    runs = repeated_runs(docs, min_lines, min_words, long_line).groupBy("doc_id").agg(F.array_agg(F.struct("from_line", "to_line")).alias("_runs"))
-    joined = docs.join(runs.withColumnRenamed("doc_id", "_of"), docs["doc_id"] == F.col("_of"), "left")
-    columns = [*docs.columns, "_n_lines", "_n_removed"]
-
-    schema = T.StructType([*docs.schema, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    found = cut(docs.mapInArrow(_repeated(min_lines, min_words, long_line, bits), "h long, text string, places array<struct<doc_id:long,line:int,n:int>>").join(first, "h"))
+    is_first = lambda p: (p["doc_id"] == F.col("first.doc_id")) & (p["line"] == F.col("first.line"))
+    kept = found.where(F.exists("places", is_first)).groupBy("h").agg(F.min("text").alias("kept"))
+    again = found.join(kept, "h").where(F.col("text") == F.col("kept"))
+    overlaps = lambda p: (p["doc_id"] == F.col("first.doc_id")) & (p["line"] < F.col("first.line") + p["n"])
+    runs = again.select(F.explode(F.filter("places", lambda p: ~is_first(p) & ~overlaps(p))).alias("p"))
+    return runs.select("p.doc_id", F.col("p.line").alias("from_line"), (F.col("p.line") + F.col("p.n")).alias("to_line"))
+
+
+def _merged(runs: list[dict]) -> list[tuple[int, int]]:
+    """Runs of lines as runs apart, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((r["from_line"], r["to_line"]) for r in runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 25, long_line: int = 50, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs without the later occurrences of repeated passages; n_chars, if there is one, follows. counts: names of columns to add, for the lines and the removed ones."""
+    runs = repeated_runs(docs, min_lines, min_words, long_line).distinct().groupBy("doc_id").agg(F.array_agg(F.struct("from_line", "to_line")).alias("runs")).withColumnRenamed("doc_id", "of")
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # their names may clash
+    joined = docs.select(*(F.col(c).alias(n) for c, n in own.items())).withColumn("id", F.col(own["doc_id"]).cast("long")).join(runs, F.col("id") == F.col("of"), "left")
+    schema = T.StructType([*(T.StructField(own[f.name], f.dataType) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    length = own.get("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            texts = data["text"]
-            n_lines = [t.count("\n") + 1 if t is not None else 0 for t in texts.to_pylist()]
-            removed, changed = [0] * len(n_lines), {}
-            for k, runs_ in enumerate(data["_runs"].to_pylist()):
-                if runs_:
-                    lines = texts[k].as_py().split("\n")
-                    gone = np.zeros(len(lines), bool)
-                    for r in runs_:
-                        gone[max(0, r["from_line"]) : r["to_line"]] = True
-                    removed[k] = int(gone.sum())
-                    changed[k] = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+            texts = data[own["text"]]
+            breaks, removed = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0), np.zeros(len(texts), np.int64)
+            changed = {}
+            for k, found in enumerate(data["runs"]):
+                if found.is_valid:
+                    lines, kept, last = texts[k].as_py().split("\n"), [], 0
+                    for a, b in _merged(found.as_py()):
+                        kept += lines[last:a]
+                        last, removed[k] = b, removed[k] + b - a
+                    changed[k] = "\n".join(kept + lines[last:])
             if changed:
-                new = texts.to_pylist()
-                for k, t in changed.items():
-                    new[k] = t
-                data["text"] = pa.array(new, texts.type)
-                if "n_chars" in data and pa.types.is_integer(data["n_chars"].type):
-                    n_chars = data["n_chars"].to_pylist()
-                    for k, t in changed.items():
-                        n_chars[k] = len(t)
-                    data["n_chars"] = pa.array(n_chars, data["n_chars"].type)
-            data |= {"_n_lines": pa.array(n_lines, pa.int64()), "_n_removed": pa.array(removed, pa.int64())}
-            yield pa.RecordBatch.from_arrays([data[c] for c in columns], columns)
-
-    return joined.select(*docs.columns, "_runs").mapInArrow(run, schema)
+                mask = np.zeros(len(texts), bool)
+                mask[list(changed)] = True
+                put = lambda column, new: pc.replace_with_mask(column, pa.array(mask), pa.array(new, column.type))
+                data[own["text"]] = put(texts, list(changed.values()))
+                if length and pa.types.is_integer(data[length].type):
+                    data[length] = put(data[length], [len(x) for x in changed.values()])
+            data |= {"n_lines": breaks.cast(pa.int64()), "n_removed": pa.array(removed)}
+            yield pa.RecordBatch.from_arrays([data[f.name] for f in schema], [f.name for f in schema])
+
+    out = joined.select(*own.values(), "runs").mapInArrow(run, schema)
+    added = [F.col(n).alias(c) for n, c in zip(("n_lines", "n_removed"), counts, strict=True)] if counts else []
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()), *added)
