@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 def shared(a: Column, b: Column) -> Column:
@@ -66,16 +66,26 @@ def jaro(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(len(a), len(b)) // 2 - 1
-    free, ours, theirs = [True] * len(b), [], []
+    if reach < 0:
+        return 0.0
+    # Bit-parallel: the free places of each character in b, as the bits of a number.
+    free: dict[str, int] = {}
+    for j, c in enumerate(b):
+        free[c] = free.get(c, 0) | 1 << j
+    span, ours, taken = (1 << (2 * reach + 1)) - 1, [], 0
     for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), -1)
-        if j >= 0:
-            free[j] = False
+        lo = i - reach
+        near = free.get(c, 0) & (span << lo if lo >= 0 else span >> -lo)
+        if near:
+            bit = near & -near  # the first free place in reach
+            free[c] ^= bit
+            taken |= bit
             ours.append(c)
-    theirs = [c for j, c in enumerate(b) if not free[j]]
     m = len(ours)
     if not m:
         return 0.0
+    places = bin(taken)[:1:-1]
+    theirs = [c for c, x in zip(b, places, strict=False) if x == "1"]
     moved = sum(x != y for x, y in zip(ours, theirs, strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
@@ -133,15 +143,15 @@ def partial_ratio(a: str, b: str) -> float:
 def _udf(f):
     @F.pandas_udf(DoubleType())
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        known: dict[tuple[str, str], float] = {}  # names repeat: a pair of strings of a batch is scored once
+        out = []
+        for pair in zip(a, b, strict=True):
+            if pair not in known:
+                known[pair] = None if None in pair else f(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
 
     return of
 
 
 jaro_winkler_udf, ratio_udf, sort_ratio_udf, set_ratio_udf, partial_ratio_udf = map(_udf, (winkler, ratio, sort_ratio, set_ratio, partial_ratio))
-
-
-@F.pandas_udf(StringType())
-def nfkc_udf(s: pd.Series) -> pd.Series:
-    """Compatibility composition, for scripts that ``text.fold`` doesn't cover."""
-    return s.str.normalize("NFKC")

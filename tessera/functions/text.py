@@ -1,7 +1,8 @@
 """Normalisation of multilingual names and addresses as column expressions.
 
-Levels are cumulative: 0 lower case and white space; 1 clean-up, folding of accents, splitting, joining; 2 and 3 native
-scripts by a learned dictionary (see ``operators.vocab.learn_dictionary``); 4 canonical forms. Everything runs in the JVM.
+Levels are cumulative: 0 lower case and white space; 1 compatibility forms, clean-up, folding of accents, splitting,
+joining; 2 native words in Latin letters; 3 native words by learned dictionaries first (see
+``operators.vocab.learn_dictionary``); 4 canonical forms. Everything runs in the JVM.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ STATES = {
 # Sounds that are written alike, in the order they are merged.
 SOUNDS = (("ph", "f"), ("bh", "b"), ("dh", "d"), ("th", "t"), ("kh", "k"), ("gh", "g"), ("sh", "s"), ("ch", "c"), ("jh", "j"), ("ck", "k"), ("q", "k"), ("x", "ks"), ("w", "v"), ("z", "j"), ("c", "k"))
 
+# The range of native scripts, and marks of no width.
 INDIC = r"ऀ-ൿ"
 ZERO_WIDTH = r"[​-‏﻿]"
 
@@ -100,6 +102,50 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def _compatibility() -> tuple[dict[str, str], tuple[str, str]]:
+    """Characters outside of native scripts that compatibility composition writes with several characters, and the ones it writes with another one."""
+    several, single = {}, []
+    for c in [*range(0xA0, 0x900), *range(0x1D00, 0x2500), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)]:
+        plain = unicodedata.normalize("NFKC", chr(c))
+        if plain != chr(c):
+            if len(plain) > 1:
+                several[chr(c)] = plain
+            else:
+                single.append((chr(c), plain))
+    return several, ("".join(a for a, _ in single), "".join(b for _, b in single))
+
+
+SEVERAL, SINGLE = _compatibility()
+
+
+def _native() -> dict[str, str]:
+    """Native characters in Latin letters, by their Unicode names. A consonant ends in \x01, where an inherent a stands unless \x02 (a vowel sign, or a virama) follows."""
+    out = {}
+    for c in range(0x900, 0xD80):
+        name = unicodedata.name(chr(c), "")
+        kind, _, sound = name.partition(" LETTER ")
+        sign = name.partition(" VOWEL SIGN ")[2]
+        plain = lambda x: x.lower().replace("vocalic ", "").replace("short ", "").replace("candra ", "").replace("aa", "a").replace("ii", "i").replace("uu", "u").split(" ")[-1]
+        if "VIRAMA" in name:
+            out[chr(c)] = "\x02"
+        elif sign:
+            out[chr(c)] = "\x02" + plain(sign)
+        elif sound and len(sound) > 1 and sound.endswith("A") and sound not in ("AA", "VOCALIC AA"):
+            out[chr(c)] = plain(sound)[:-1] + "\x01"
+        elif sound:
+            out[chr(c)] = plain(sound)
+        elif " DIGIT " in name:
+            out[chr(c)] = str(unicodedata.digit(chr(c), ""))
+        elif name.endswith((" SIGN ANUSVARA", " SIGN CANDRABINDU")):
+            out[chr(c)] = "n"
+        elif name:
+            out[chr(c)] = ""
+    return out
+
+
+NATIVE = _native()
+
+
 def chain(column: Column, *steps: tuple[str, str]) -> Column:
     """Regular-expression replacements, one after the other."""
     for pattern, replacement in steps:
@@ -107,6 +153,33 @@ def chain(column: Column, *steps: tuple[str, str]) -> Column:
     return column
 
 
+def spelled(column: Column, table: dict[str, str]) -> Column:
+    """Each character as the table has it; others as they are."""
+    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    return F.array_join(F.transform(F.split(column, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
+
+
+def compose(column: Column) -> Column:
+    """Compatibility composition of what stands outside of native scripts: ligatures, fractions, letterlike and full-width forms."""
+    one = F.translate(column, *SINGLE)
+    return F.when(column.rlike("[" + "".join(SEVERAL) + "]"), spelled(one, SEVERAL)).otherwise(one)
+
+
+def transliterate(column: Column) -> Column:
+    """Native words in Latin letters, by the names of their characters."""
+    s = chain(spelled(column, NATIVE), ("\x01\x02", ""), ("\x01", "a"), ("\x02", ""))
+    return F.when(has_native(column), s).otherwise(column)
+
+
+def native_runs(column: Column) -> Column:
+    return F.regexp_extract_all(column, F.lit(f"([{INDIC}]+)"))
+
+
+def plain_words(column: Column) -> Column:
+    """Words for profiles: accents folded, marks dropped, all else but letters, digits and underscores a gap."""
+    return squeeze(F.regexp_replace(fold(F.lower(compose(column))), r"[^\p{L}\p{N}_]+", " "))
+
+
 def has_native(column: Column) -> Column:
     return column.rlike(f"[{INDIC}]")
 
@@ -137,7 +210,7 @@ def without_repeats(words: Column) -> Column:
 
 def clean(column: Column, field: str = "name") -> Column:
     """Level 1 up to the tokens, as text."""
-    s = F.lower(F.regexp_replace(column, ZERO_WIDTH, ""))
+    s = F.lower(compose(F.regexp_replace(column, ZERO_WIDTH, "")))
     s = F.translate(s, "’'", "")
     s = chain(
         s, ("&", " and "), (r"\bn\s*[°º]", " no "),
@@ -194,14 +267,16 @@ def canonical_address(words: Column, country: Column) -> Column:
     return F.transform(kept, one)
 
 
-def normalize(column: Column, level: int = 4, field: str = "name", country: Column | None = None, dictionary: Column | None = None) -> Column:
-    """dictionary: a map column from native to Latin words, for levels 3 and up."""
+def normalize(column: Column, level: int = 4, field: str = "name", country: Column | None = None, dictionary: Column | None = None, other: Column | None = None) -> Column:
+    """dictionary: a map column from native to Latin words, for levels 3 and up; other: that of the other field, asked second. Native words in neither are spelled in Latin letters."""
     column = F.coalesce(column, F.lit(""))
     if level <= 0:
         return squeeze(F.lower(F.regexp_replace(column, ZERO_WIDTH, "")))
     words = tokens(clean(column, field))
-    if level >= 3 and dictionary is not None:
-        words = F.filter(F.split(F.array_join(F.transform(words, lambda t: F.coalesce(F.element_at(dictionary, t), t)), " "), " "), lambda t: t != "")
+    if level >= 2:
+        known = [d for d in (dictionary, other) if d is not None and level >= 3]
+        latin = lambda t: F.coalesce(*(F.element_at(d, t) for d in known), transliterate(t))
+        words = F.filter(F.split(F.array_join(F.transform(words, latin), " "), " "), lambda t: t != "")
     # Single letters in a row are one token.
     words = F.split(F.regexp_replace(F.array_join(words, " "), "(?<=(?:^| )[a-z]) (?=[a-z](?: |$))", ""), " ")
     words = F.flatten(F.transform(F.array(words), without_repeats))

@@ -1,8 +1,9 @@
 """Candidates: nearest neighbours within groups, keys, inverted lists.
 
-``knn`` is the relational form: an equi-join on the group and a ranking window. ``knn_blocked`` is the form for large
-groups: both sides are dealt into blocks within their group, each pair of blocks is one matrix product with a local
-top-k, and a window merges the local results, so that neither a group nor its pairs ever meet in one task.
+Searches deal both sides of a group into blocks: each pair of blocks is one task of matrix products with a local top-k,
+and a window merges the local results, so that neither a group nor its pairs ever meet in one task. Blocks are large
+(a vector goes to each block of the other side), and a task multiplies them in chunks that fit its memory.
+``scored_pairs`` is the plain relational form, for few records.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import dot
 
+#: Scores that a task holds at once.
+CHUNK = 1 << 23
+
 
 def ranked(edges: DataFrame, key: str, other: str, k: int, rank: str) -> DataFrame:
     """The k best edges of each key by score; rank counts from 0."""
@@ -28,46 +32,37 @@ def scored_pairs(q: DataFrame, p: DataFrame) -> DataFrame:
     return q.join(p.withColumnRenamed("vec", "pvec"), "country").select("qi", "pj", F.round(dot(F.col("vec"), F.col("pvec")), 6).alias("cos"))
 
 
-def merge_edges(forward: DataFrame, reverse: DataFrame) -> DataFrame:
-    """Edges of either direction with the context of the search. A rank is null where its direction didn't find the edge.
-
-    The best edge of every query is among the forward edges, and that of every pool record among the reverse ones, so
-    that the best scores are windows over the merged edges and need no join."""
-    f, r = forward.select("qi", "pj", "cos", "fwd_rank"), reverse.select("qi", "pj", F.col("cos").alias("cos_r"), "rev_rank")
-    e = f.join(r, ["qi", "pj"], "full_outer").withColumn("cos", F.coalesce("cos", "cos_r")).drop("cos_r")
-    q, p = Window.partitionBy("qi"), Window.partitionBy("pj")
-    mutual = F.coalesce((F.col("fwd_rank") == 0) & (F.col("rev_rank") == 0), F.lit(False)).cast("int")
-    return e.select(
-        "qi", "pj", "cos", "fwd_rank", "rev_rank", F.round(F.max("cos").over(q) - F.col("cos"), 6).alias("gap_q"), F.round(F.max("cos").over(p) - F.col("cos"), 6).alias("rev_margin"),
-        mutual.alias("mutual"), F.count(F.lit(1)).over(q).alias("n_cand_q"),
-    )
+def _best(scores: np.ndarray, own: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row, ties by the smaller id: ids of rows and columns, scores."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, col = np.nonzero(scores >= least[:, None])  # ties at the edge may make more than k
+    order = np.lexsort((other[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    return own[row], other[col], scores[row, col]
 
 
-def knn(q: DataFrame, p: DataFrame, k_fwd: int = 10, m_rev: int = 3) -> DataFrame:
-    """Forward top-k_fwd and reverse top-m_rev edges within each group, with context."""
-    pairs = scored_pairs(q, p)
-    return merge_edges(ranked(pairs, "qi", "pj", k_fwd, "fwd_rank"), ranked(pairs, "pj", "qi", m_rev, "rev_rank"))
-
-
-def _block_topk(k_fwd: int, m_rev: int):
+def _block_topk(k: int, m: int):
     def run(key: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        names = ["qi", "pj", "cos", "way"]
-        if not len(q) or not len(p):
-            return pd.DataFrame({n: pd.Series(dtype="float64" if n == "cos" else "int64") for n in names})
-        s = np.round(np.stack(q["vec"]).astype(np.float64) @ np.stack(p["vec"]).astype(np.float64).T, 6)
-        qi, pj, out = q["qi"].to_numpy(), p["pj"].to_numpy(), []
-        for way, k, m, own, other in ((0, k_fwd, s, qi, pj), (1, m_rev, s.T, pj, qi)):
-            # Ties at the edge go to the smaller id, as in the merging window.
-            best = np.lexsort((np.broadcast_to(other, m.shape), -m), axis=1)[:, :k]
-            a, b, c = np.repeat(own, best.shape[1]), other[best].ravel(), np.take_along_axis(m, best, 1).ravel()
-            out.append(pd.DataFrame(dict(zip(names, (a, b, c, way) if not way else (b, a, c, way), strict=True))))
-        return pd.concat(out)
+        out = []
+        if len(q) and len(p):
+            x, y = (np.stack(d["vec"]).astype(np.float64) for d in (q, p))
+            qi, pj = q["qi"].to_numpy(), p["pj"].to_numpy()
+            for way, (a, b, own, other, n) in enumerate(((x, y, qi, pj, k), (y, x, pj, qi, m))):
+                step = max(1, CHUNK // len(b))
+                for lo in range(0, len(a) if n else 0, step):
+                    i, j, c = _best(np.round(a[lo : lo + step] @ b.T, 6), own[lo : lo + step], other, n)
+                    out.append(pd.DataFrame({"qi": j if way else i, "pj": i if way else j, "cos": c, "way": way}))
+        return pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype="float64" if n == "cos" else "int64") for n in ("qi", "pj", "cos", "way")})
 
     return run
 
 
-def knn_blocked(q: DataFrame, p: DataFrame, k_fwd: int = 10, m_rev: int = 3, rows: int = 2048) -> DataFrame:
-    """As ``knn``, in blocks of about ``rows`` vectors of a side."""
+def nearest(q: DataFrame, p: DataFrame, k: int, m: int, rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
+    """Forward top-k edges (qi, pj, cos, fwd_rank) and reverse top-m ones (rev_rank) within each group, in blocks of about ``rows`` vectors."""
+
     def dealt(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         sizes = df.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks"))
         return df.join(sizes, "country").withColumn("b", F.pmod(F.xxhash64(key), F.col("blocks"))), sizes
@@ -77,27 +72,122 @@ def knn_blocked(q: DataFrame, p: DataFrame, k_fwd: int = 10, m_rev: int = 3, row
     q = q.drop("blocks").join(np_, "country").withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("country", F.col("b").alias("qb"), "pb", "qi", "vec")
     p = p.drop("blocks").join(nq, "country").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("country", "qb", F.col("b").alias("pb"), "pj", "vec")
     keys = ["country", "qb", "pb"]
-    local = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(_block_topk(k_fwd, m_rev), "qi long, pj long, cos double, way int")
-    forward = ranked(local.where("way = 0").drop("way"), "qi", "pj", k_fwd, "fwd_rank")
-    reverse = ranked(local.where("way = 1").drop("way"), "pj", "qi", m_rev, "rev_rank")
-    return merge_edges(forward, reverse)
+    local = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(_block_topk(k, m), "qi long, pj long, cos double, way int")
+    return ranked(local.where("way = 0").drop("way"), "qi", "pj", k, "fwd_rank"), ranked(local.where("way = 1").drop("way"), "pj", "qi", m, "rev_rank")
+
+
+def forward_topk(q: DataFrame, p: DataFrame, k: int = 10, rows: int = 16_384) -> DataFrame:
+    return nearest(q, p, k, 0, rows)[0]
+
+
+def reverse_topk(q: DataFrame, p: DataFrame, m: int = 3, rows: int = 16_384) -> DataFrame:
+    return nearest(q, p, 0, m, rows)[1]
+
+
+def knn(q: DataFrame, p: DataFrame, k_fwd: int = 10, m_rev: int = 3, rows: int = 16_384) -> DataFrame:
+    """Forward top-k_fwd and reverse top-m_rev edges within each group, with the context of the search.
+
+    Boolean columns of q, if there are any: ``present``, whether a query exists at all, for forward and reverse search;
+    ``need``, whether its candidates are wanted. A pool record's nearest query may be one that isn't needed, so the best
+    scores come from the whole searches, not from the edges that are left. Either number may be 0. A rank is null where
+    its direction didn't find the edge; with p.src there is is_s3.
+    """
+    if "present" in q.columns:
+        q = q.where("present")
+    wanted = q.where("need").select("qi") if "need" in q.columns else None
+    forward, reverse = nearest(q.select("qi", "country", "vec"), p.select("pj", "country", "vec"), max(k_fwd, 1), max(m_rev, 1), rows)
+    if wanted is not None:
+        forward = forward.join(wanted, "qi", "left_semi")
+    top_q = forward.where("fwd_rank = 0").select("qi", F.col("cos").alias("top_q"))
+    top_p = reverse.where("rev_rank = 0").select("pj", F.col("cos").alias("top_p"))
+    if wanted is not None:
+        reverse = reverse.join(wanted, "qi", "left_semi")
+    r = reverse.where(F.col("rev_rank") < m_rev).select("qi", "pj", F.col("cos").alias("cos_r"), "rev_rank")
+    e = forward.where(F.col("fwd_rank") < k_fwd).select("qi", "pj", "cos", "fwd_rank").join(r, ["qi", "pj"], "full_outer").withColumn("cos", F.coalesce("cos", "cos_r"))
+    e = e.join(top_q, "qi").join(top_p, "pj")
+    mutual = F.coalesce((F.col("fwd_rank") == 0) & (F.col("rev_rank") == 0), F.lit(False)).cast("int")
+    own = [F.col("is_s3")] if "src" in p.columns else []
+    if own:
+        e = e.join(p.select("pj", (F.col("src") == "S3").cast("int").alias("is_s3")), "pj")
+    return e.select(
+        "qi", "pj", "cos", "fwd_rank", "rev_rank", F.round(F.col("top_q") - F.col("cos"), 6).alias("gap_q"), F.round(F.col("top_p") - F.col("cos"), 6).alias("rev_margin"),
+        mutual.alias("mutual"), F.count(F.lit(1)).over(Window.partitionBy("qi")).alias("n_cand_q"), *own,
+    )
+
+
+def _nearest_lists(centres: np.ndarray, probes: int, key: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            s = np.stack(d["vec"]).astype(np.float64) @ centres.T
+            best = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+            at = np.repeat(np.arange(len(d)), best.shape[1])
+            yield pd.DataFrame({key: d[key].to_numpy()[at], "country": d["country"].to_numpy()[at], "vec": d["vec"].to_numpy()[at], "list": best.ravel()})
+
+    return run
 
 
-def knn_ivf(q: DataFrame, p: DataFrame, k: int = 10, lists: int = 16, probes: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate forward top-k: spherical k-means lists of the pool, of which each query scans the nearest ones."""
+def knn_ivf(q: DataFrame, p: DataFrame, k: int = 10, lists: int | None = None, probes: int = 8, seed: int = 42, sample: int = 100_000) -> DataFrame:
+    """Approximate forward top-k: spherical k-means lists of the pool, of which each query scans the nearest ones.
+
+    The number of lists grows as the root of the pool, unless it is given; centres are fitted on at most about
+    ``sample`` vectors, and every vector is put into its list."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    pv = p.withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10).fit(pv)
-    centres = [c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()]
-    near = F.array(*(F.struct((-dot(F.col("vec"), F.array(*map(F.lit, c.tolist())))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)))
-    probed = q.withColumn("list", F.explode(F.transform(F.slice(F.array_sort(near), 1, probes), lambda x: x["list"])))
-    held = model.transform(pv).select("pj", "country", F.col("vec").alias("pvec"), F.col("prediction").alias("list"))
+    n = p.count()
+    lists = max(2, min(lists or round(n**0.5), n))
+    few = p.where(F.pmod(F.xxhash64("pj", F.lit(seed)), F.lit(max(1, -(-n // sample)))) == 0)
+    model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10).fit(few.withColumn("features", array_to_vector("vec")))
+    centres = np.array([c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()])
+    kinds = lambda df, key: f"{key} long, country {df.schema['country'].dataType.simpleString()}, vec {df.schema['vec'].dataType.simpleString()}, list long"
+    probed = q.select("qi", "country", "vec").mapInPandas(_nearest_lists(centres, probes, "qi"), kinds(q, "qi"))
+    held = p.select("pj", "country", "vec").mapInPandas(_nearest_lists(centres, 1, "pj"), kinds(p, "pj")).withColumnRenamed("vec", "pvec")
     pairs = probed.join(held, ["country", "list"]).select("qi", "pj", F.round(dot(F.col("vec"), F.col("pvec")), 6).alias("cos"))
     return ranked(pairs, "qi", "pj", k, "fwd_rank")
 
 
+def search(q: DataFrame, p: DataFrame, k: int, index: str = "exact", **options) -> DataFrame:
+    """Forward top-k by an exact search or by inverted lists ("ivf")."""
+    return knn_ivf(q, p, k, **options) if index == "ivf" else forward_topk(q, p, k, **options)
+
+
+def pair_cosine(pairs: DataFrame, q: DataFrame, p: DataFrame) -> DataFrame:
+    """qi, pj, cos of given pairs of sparse vectors (key, term, w): terms are joined for these pairs only."""
+    shared = pairs.select("qi", "pj").join(q.select("qi", "term", "w"), "qi").join(p.select("pj", "term", F.col("w").alias("pw")), ["pj", "term"])
+    cos = shared.groupBy("qi", "pj").agg(F.sum(F.col("w") * F.col("pw")).alias("cos"))
+    return pairs.select("qi", "pj").join(cos, ["qi", "pj"], "left").withColumn("cos", F.round(F.coalesce("cos", F.lit(0.0)), 6))
+
+
+def found_or_near(edges: DataFrame, n: int) -> DataFrame:
+    """Edges among the first n forward ones, or found by the reverse search."""
+    return edges.where((F.col("fwd_rank") < n) | F.col("rev_rank").isNotNull())
+
+
+def capped(scored: DataFrame, k: int, t: float) -> DataFrame:
+    """At most the k best candidates of each query, of a score of at least t."""
+    w = Window.partitionBy("qi").orderBy(F.desc("p"), "pj")
+    return scored.where(F.col("p") >= t).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
+def rarest(records: DataFrame, key: str, words: Column, df: DataFrame, n: int) -> DataFrame:
+    """key, country, token, r: the n rarest tokens of each record that stand in the pool at all; ties in order. df: country, token, df."""
+    t = records.select(key, "country", F.explode(F.array_distinct(words)).alias("token")).join(df, ["country", "token"])
+    w = Window.partitionBy(key).orderBy("df", "token")
+    return t.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select(key, "country", "token", "r")
+
+
+def derived_keys(records: DataFrame, key: str, name_words: Column, addr_words: Column, numbers: Column, name_df: DataFrame, addr_df: DataFrame) -> DataFrame:
+    """key, keys: of each record its two rarest name tokens, its rarest address token and the three longest numbers, by country."""
+    longest = F.slice(F.array_sort(F.transform(F.array_distinct(numbers), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 3)
+    parts = [
+        rarest(records, key, name_words, name_df, 2).select(key, F.concat_ws(":", F.lit("n"), "country", "token").alias("k")),
+        rarest(records, key, addr_words, addr_df, 1).select(key, F.concat_ws(":", F.lit("a"), "country", "token").alias("k")),
+        records.select(key, "country", F.explode(longest).alias("x")).select(key, F.concat_ws(":", F.lit("d"), "country", "x.x").alias("k")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy(key).agg(F.array_sort(F.collect_set("k")).alias("keys"))
+
+
 def hard_negatives(forward: DataFrame, truth: DataFrame) -> DataFrame:
     """The best-ranked edge of each query that is no match: qi, pj, cos, fwd_rank."""
     wrong = forward.join(truth.select("qi", "pj"), ["qi", "pj"], "left_anti")
@@ -125,7 +215,46 @@ def sparse_vectors(records: DataFrame, key: str, terms, least_df: int = 2) -> Da
     return w.select(key, "country", "term", (F.col("w") / norm).alias("w"))
 
 
-def sparse_topk(q: DataFrame, p: DataFrame, k: int) -> DataFrame:
-    """Forward top-k of sparse vectors: only pairs that share a term appear. q: qi, country, term, w; p: pj, ..."""
-    pairs = q.join(p.withColumnRenamed("w", "pw"), ["country", "term"]).groupBy("qi", "pj").agg(F.round(F.sum(F.col("w") * F.col("pw")), 6).alias("cos"))
-    return ranked(pairs, "qi", "pj", k, "fwd_rank")
+def _sparse_block(terms: dict[tuple, int], w: np.ndarray, ids: np.ndarray, countries: list, k: int):
+    """Local top-k of a block of queries, for a batch of pool records. w: a row for each term, a column for each query."""
+    of = {c: np.array([x == c for x in countries]) for c in set(countries)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows, scores = [], []
+            for country, names, weights in zip(d["country"], d["terms"], d["ws"], strict=True):
+                at = [(i, x) for t, x in zip(names, weights, strict=True) if (i := terms.get(t)) is not None]
+                s = np.array([x for _, x in at]) @ w[[i for i, _ in at]] if at else np.zeros(len(ids))
+                scores.append(np.where(of.get(country, np.zeros(len(ids), bool)), np.round(s, 6), 0.0))
+            pool = d["pj"].to_numpy()
+            i, j, c = _best(np.array(scores).T, ids, pool, k)
+            rows = c > 0
+            yield pd.DataFrame({"qi": i[rows], "pj": j[rows], "cos": c[rows]})
+
+    return run
+
+
+def sparse_topk(q: DataFrame, p: DataFrame, k: int, block: int = 128) -> DataFrame:
+    """Forward top-k of sparse vectors, of pairs that share a term. q: qi, country, term, w; p: pj, ...
+
+    Queries go to all tasks in blocks of ``block``, each as a dense matrix over its terms; a pool record is a row of its
+    terms and never leaves its place but for its local top-k. The pool is read once for each block."""
+    lists = lambda df, key: df.groupBy(key, "country").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    pool, out, held = lists(p, "pj"), None, []
+
+    def matched(held: list) -> DataFrame:
+        terms = {t: i for i, t in enumerate(sorted({t for r in held for t in r["terms"]}))}
+        w = np.zeros((len(terms), len(held)))
+        for j, r in enumerate(held):
+            w[[terms[t] for t in r["terms"]], j] = r["ws"]
+        return pool.mapInPandas(_sparse_block(terms, w, np.array([r["qi"] for r in held]), [r["country"] for r in held], k), "qi long, pj long, cos double")
+
+    for r in lists(q, "qi").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            part, held = matched(held), []
+            out = part if out is None else out.unionByName(part)
+    if held or out is None:
+        part = matched(held) if held else q.sparkSession.createDataFrame([], "qi long, pj long, cos double")
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, "qi", "pj", k, "fwd_rank")

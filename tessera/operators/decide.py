@@ -45,6 +45,11 @@ def gated(t_entity: Column | float, t1: Column | float, t2: Column | float) -> C
     return (F.col("e") >= t_entity) & top1_plus(t1, t2)
 
 
+def any_match() -> Column:
+    """The chance that any candidate of the query matches, taking candidates for independent."""
+    return 1 - F.exp("none")
+
+
 def expected_f(prepared: DataFrame, missed: float = 0.0) -> DataFrame:
     """Keeps the first m candidates of each query that maximise the expected F0.5, unless keeping none is as good."""
     q = Window.partitionBy("qi")
@@ -60,7 +65,7 @@ def steps(lo: float, hi: float, by: float) -> list[float]:
     return [round(lo + i * by, 3) for i in range(n)]
 
 
-#: Parameters that are tried for each rule.
+# Parameters that are tried for each rule.
 GRIDS = {
     "threshold": [(t,) for t in steps(0.3, 0.96, 0.025)],
     "top1_plus": [(a, b) for a in steps(0.1, 0.8, 0.1) for b in steps(0.5, 0.96, 0.05) if b >= a],
@@ -82,9 +87,45 @@ def grid_search(prepared: DataFrame, entities: DataFrame, rule, points: list[tup
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("point"), F.lit(",".join(map(str, x))).alias("params"), F.col(f"f{i}").alias("f05")) for i, x in enumerate(points)))).alias("x")).select("x.*")
 
 
-def best_point(scores: DataFrame) -> DataFrame:
-    """The first point of the highest score."""
-    return scores.groupBy().agg(F.max_by(F.struct("point", "params", "f05"), F.struct("f05", -F.col("point"))).alias("x")).select("x.*")
+RULES = {"threshold": threshold, "top1_plus": top1_plus, "relative": relative, "gated": gated}
+
+
+def tune(prepared: DataFrame, entities: DataFrame, rule: str) -> DataFrame:
+    """point, params, f05 of every point of a rule's grid. prepared has hit, and e for the gated rule; entities: qi, k."""
+    if rule != "expected_f":
+        return grid_search(prepared, entities, RULES[rule], GRIDS[rule])
+    out = None
+    for i, (missed,) in enumerate(GRIDS[rule]):  # it keeps whole prefixes, so that each point is a pass of its own
+        n = expected_f(prepared, missed).groupBy("qi").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("hit"), 1)).alias("tp"))
+        f = entity_f05(F.col("k"), F.coalesce("n", F.lit(0)), F.coalesce("tp", F.lit(0)))
+        one = entities.join(n, "qi", "left").agg(F.avg(f).alias("f05")).select(F.lit(i).alias("point"), F.lit(str(missed)).alias("params"), "f05")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def choose(prepared: DataFrame, entities: DataFrame, rules: tuple[str, ...] = ("threshold", "top1_plus", "relative", "expected_f", "gated"), tuning: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """rule, params, f05_tune, f05: each rule's best point on the tuning folds, and its score on the others. entities: qi, k, fold."""
+    side = F.col("fold").isin(*tuning)
+    out = None
+    for rule in rules:
+        scores = []
+        for part, e in (("f05_tune", entities.where(side)), ("f05", entities.where(~side))):
+            kept = prepared.join(e.select("qi"), "qi", "left_semi")
+            scores.append(tune(kept, e.select("qi", "k"), rule).select("point", "params", F.round("f05", 9).alias(part)))
+        both = scores[0].join(scores[1].drop("params"), "point")
+        best = both.groupBy().agg(F.max_by(F.struct("params", "f05_tune", "f05"), F.struct("f05_tune", -F.col("point"))).alias("x")).select(F.lit(rule).alias("rule"), "x.*")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def apply(prepared: DataFrame, rule: str, params: tuple[float, ...]) -> DataFrame:
+    return expected_f(prepared, *params) if rule == "expected_f" else prepared.where(RULES[rule](*params))
+
+
+def stage(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The row of choose's results to decide by: the best rule of the second stage, if it tuned at least as well as the first stage's best."""
+    every = first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2)))
+    return every.groupBy().agg(F.max_by(F.struct("stage", "rule", "params", "f05_tune", "f05"), F.struct("f05_tune", "stage", "rule")).alias("x")).select("x.*")
 
 
 def entity_f05(k: Column, n: Column, tp: Column) -> Column:

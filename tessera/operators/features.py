@@ -21,6 +21,25 @@ def records(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def with_weights(df: DataFrame, key: str, words: str, name: str, idf: DataFrame) -> DataFrame:
+    """Adds to each record its words' weights as entries (token, idf): the vocabulary is joined once per record, and never gathered. idf: country, token, idf."""
+    found = df.select(key, "country", F.explode(words).alias("token")).join(idf.select("country", "token", "idf"), ["country", "token"])
+    found = found.groupBy(key).agg(F.collect_list(F.struct("token", "idf")).alias(name))
+    return df.join(found, key, "left")
+
+
+def with_pair_weights(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The entries of both records of a pair as one map for each name; for a token of both, q's weight."""
+    none = F.array().cast("array<struct<token:string,idf:double>>")
+
+    def merged(name: str) -> Column:
+        q, c = F.coalesce(F.col(f"q.{name}"), none), F.coalesce(F.col(f"c.{name}"), none)
+        own = F.transform(q, lambda x: x["token"])
+        return F.map_from_entries(F.concat(q, F.filter(c, lambda x: ~F.array_contains(own, x["token"]))))
+
+    return pairs.withColumns({n: merged(n) for n in names})
+
+
 def pair_up(cands: DataFrame, q: DataFrame, p: DataFrame) -> DataFrame:
     """qi, pj and both records as structs q and c."""
     left = q.select("qi", F.struct(*(c for c in q.columns if c != "qi")).alias("q"))

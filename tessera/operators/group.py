@@ -57,6 +57,11 @@ def sibling_features(d: DataFrame, pool: DataFrame) -> DataFrame:
     )
 
 
+def stage2_vector(d: DataFrame, pool: DataFrame) -> DataFrame:
+    """Group, claim and sibling features of scored pairs, joined. d: qi, pj, p, src; pool: pj, name_tri, addr_tri, nums."""
+    return claim_windows(query_windows(d)).join(sibling_features(d, pool), ["qi", "pj"])
+
+
 def cluster_features(d: DataFrame, pool: DataFrame) -> DataFrame:
     """How a candidate's vector lies among the query's others, weighted by their scores. d: qi, pj, p, src; pool: pj, vec, core.
 

@@ -53,9 +53,50 @@ def shared_owners(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("m").agg(F.count_distinct("s1").alias("owners")).where("owners > 1")
 
 
-def inverted_lookup(q: DataFrame, p: DataFrame, most_df: int) -> DataFrame:
-    """qi, n_cand, n_tokens: pool records that share a token of at most most_df records. q: qi, words; p: pj, words."""
+def inverted_lookup(q: DataFrame, p: DataFrame, least: int = 20, share: float = 0.01) -> DataFrame:
+    """qi, n_cand, n_tokens: pool records that share a token which stands in at most max(least, share of the pool) records. q: qi, words; p: pj, words."""
     held = p.select("pj", F.explode(F.array_distinct("words")).alias("token"))
-    rare = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_df).select("token")
-    found = q.select("qi", F.explode(F.array_distinct("words")).alias("token")).join(held.join(rare, "token"), "token")
+    most = F.broadcast(p.agg(F.greatest(F.lit(least), F.floor(F.lit(share) * F.count(F.lit(1)))).alias("most")))  # one row
+    rare = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(most, F.col("df") <= F.col("most")).select("token")
+    found = q.select("qi", F.explode(F.array_distinct("words")).alias("token")).join(rare, "token").join(held, "token")
     return found.groupBy("qi", "pj").agg(F.count(F.lit(1)).alias("t")).groupBy("qi").agg(F.count(F.lit(1)).alias("n_cand"), F.max("t").alias("n_tokens"))
+
+
+def signal_means(pairs: DataFrame, signals: list[str], *by: str) -> DataFrame:
+    """Mean and median of each signal, for each group."""
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in signals for n, f in (("mean", F.avg), ("median", F.median))))
+
+
+def coverage_share(records: DataFrame, used: DataFrame, key: str, *by: str) -> DataFrame:
+    """The share of records whose key is among the used ones, for each group."""
+    flagged = records.join(used.select(key).distinct().withColumn("used", F.lit(1)), key, "left")
+    return flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("used", F.lit(0))).alias("share"))
+
+
+def ids_by(records: DataFrame, key: str, by: str) -> DataFrame:
+    """by, ids: the sorted keys of each group, for groups that are known to be small."""
+    return records.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+
+
+def universe(s1: DataFrame, pool: DataFrame, native: Column, *by: str) -> DataFrame:
+    """n, singletons (records without a match), pool, distractors (pool records without an owner) and native names, as counts and shares."""
+    q = s1.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("k") == 0).cast("int")).alias("singletons"))
+    p = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("pool"), F.avg((F.col("owner") == "").cast("int")).alias("distractors"), F.avg(native.cast("int")).alias("native"))
+    return q.join(p, list(by), "full_outer")
+
+
+def error_profile(pairs: DataFrame, signals: list[str], kind: str = "kind", levels: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Means and quantiles of the signals of each kind of error (missed, false, right)."""
+    return pairs.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in signals), *(F.percentile(c, F.lit(x)).alias(f"p{round(100 * x)}_{c}") for c in signals for x in levels))
+
+
+def hardest(pairs: DataFrame, signal: str, n: int = 15, *ties: str) -> DataFrame:
+    """The n pairs of the smallest signal."""
+    return pairs.orderBy(signal, *ties).limit(n)
+
+
+def largest_difference(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """n rows of both, rows of only one, and the largest absolute difference in each column: whether two ways to the same table agree."""
+    other = b.select(*keys, *(F.col(c).alias(f"{c}_b") for c in columns), F.lit(1).alias("in_b"))
+    j = a.withColumn("in_a", F.lit(1)).join(other, keys, "full_outer")
+    return j.agg(F.count(F.when(F.col("in_a").isNotNull() & F.col("in_b").isNotNull(), 1)).alias("n"), F.count(F.when(F.col("in_a").isNull() | F.col("in_b").isNull(), 1)).alias("alone"), *(F.max(F.abs(F.col(c) - F.col(f"{c}_b"))).alias(c) for c in columns))

@@ -68,6 +68,11 @@ def header(first_line: str | None, expected: str) -> str | None:
     return None
 
 
+def encoding_errors(files: DataFrame) -> DataFrame:
+    """Files that are not UTF-8. files: path, content (as spark.read.format("binaryFile") gives them)."""
+    return finding(files.where(~F.is_valid_utf8(F.col("content").cast("string"))), "not UTF-8", F.element_at(F.split("path", "/"), -1))
+
+
 def validate(results: DataFrame, candidates: DataFrame, s1_ids: DataFrame, pool_ids: DataFrame | None = None) -> DataFrame:
     """All findings of two sets of lines (without header)."""
     r, c = parsed(results), parsed(candidates)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prepare import drawn
 
 def document_frequency(records: DataFrame, words: Column, group: str = "country") -> DataFrame:
     """group, token, df: in how many records of a group a token stands."""
@@ -19,6 +20,13 @@ def inverse_frequency(records: DataFrame, words: Column, group: str = "country",
     return df.join(n, group).select(group, "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"), (F.log(F.col("n") + 1) + 1).alias("idf_default"))
 
 
+def hashed_frequency(records: DataFrame, key: str, words: Column, buckets: int = 1 << 21, group: str = "country") -> DataFrame:
+    """group, bucket, df: document frequencies of tokens dealt to buckets by their hash, which need no vocabulary."""
+    bucket = (drawn(F.col("token"), 0) % buckets).alias("bucket")
+    t = records.select(key, group, F.explode(F.array_distinct(words)).alias("token")).select(key, group, bucket).distinct()
+    return t.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("df"))
+
+
 def core_counts(records: DataFrame, core: str = "core", group: str = "country") -> DataFrame:
     return records.groupBy(group, core).agg(F.count(F.lit(1)).alias("n"))
 

@@ -23,22 +23,35 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: doc_id, name (the first eight words), addr, country, src."""
+    """Documents as records: doc_id, name (the whole text in one line), addr, country, src."""
     d = table(spark, sf_dir, "documents")
-    name = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 8), " ")
     addr = F.concat(F.col("source"), F.lit(", "), F.col("n_chars"), F.lit(" Main Road, "), F.col("n_chars") % 97)
-    return d.select("doc_id", name.alias("name"), addr.alias("addr"), F.col("lang").alias("country"), F.when(F.col("doc_id") % 2 == 0, "S2").otherwise("S3").alias("src"))
+    return d.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("name"), addr.alias("addr"), F.col("lang").alias("country"), F.when(F.col("doc_id") % 2 == 0, "S2").otherwise("S3").alias("src"))
 
 
 def named_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A stated set of queries (every row whose id is divisible by 100), and all rows as the pool."""
     d = named(spark, sf_dir)
-    return d.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "qi"), d.where("doc_id % 5 <> 0").withColumnRenamed("doc_id", "pj")
+    return d.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qi"), d.withColumnRenamed("doc_id", "pj")
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qi, pj: each query with the two pool records that follow it, of any country."""
+    """qi, pj: each document with the one that follows it, of any country."""
     d = table(spark, sf_dir, "documents").select("doc_id")
-    return d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("qi"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("pj")).join(d.withColumnRenamed("doc_id", "pj"), "pj").select("qi", "pj")
+    return d.select(F.col("doc_id").alias("qi"), (F.col("doc_id") + 1).alias("pj")).join(d.withColumnRenamed("doc_id", "pj"), "pj", "left_semi")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records of short values: id, name, addr, country."""
+    d = table(spark, sf_dir, "part")
+    addr = F.concat(F.col("p_size"), F.lit(" "), F.col("p_brand"), F.lit(" Road, "), F.col("p_partkey") % 89)
+    return d.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), addr.alias("addr"), F.when(F.col("p_size") % 2 == 0, "US").otherwise("India").alias("country"))
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qi, pj: each part with the one that follows it."""
+    d = table(spark, sf_dir, "part").select("p_partkey")
+    return d.select(F.col("p_partkey").alias("qi"), (F.col("p_partkey") + 1).alias("pj")).join(d.withColumnRenamed("p_partkey", "pj"), "pj", "left_semi")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +75,3 @@ def entities(spark: SparkSession, sf_dir: str, own: DataFrame) -> DataFrame:
 
 def words(column):
     return F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def numbers_of(column):
-    return T.numbers(column)

@@ -57,10 +57,13 @@ e AS (SELECT coalesce(f.qi, r.qi) AS qi, coalesce(f.pj, r.pj) AS pj, coalesce(f.
 tq AS (SELECT qi, max(cos) AS q1 FROM fwd GROUP BY qi), tp AS (SELECT pj, max(cos) AS p1 FROM rev GROUP BY pj)
 SELECT e.qi, e.pj, cos, fwd_rank, rev_rank, round(q1 - cos, 6) AS gap_q, round(p1 - cos, 6) AS rev_margin, CASE WHEN fwd_rank = 0 AND rev_rank = 0 THEN 1 ELSE 0 END AS mutual,
   count(*) OVER (PARTITION BY e.qi) AS n_cand_q FROM e LEFT JOIN tq USING (qi) LEFT JOIN tp USING (pj)"""
-NAMED = """named AS (SELECT doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 8), ' ') AS name, source || ', ' || n_chars || ' Main Road, ' || (n_chars % 97) AS addr,
+NAMED = """named AS (SELECT doc_id, replace(text, chr(10), ' ') AS name, source || ', ' || n_chars || ' Main Road, ' || (n_chars % 97) AS addr,
   lang AS country, CASE WHEN doc_id % 2 = 0 THEN 'S2' ELSE 'S3' END AS src FROM documents)"""
+DRAWN_SQL = "CAST('0x' || left(md5({}), 8) AS BIGINT)"
 WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
-PAIRS = "np AS (SELECT d.doc_id AS qi, d.doc_id + s AS pj FROM documents d, (VALUES (1), (2)) v(s) WHERE d.doc_id % 5 = 0 AND d.doc_id + s IN (SELECT doc_id FROM documents))"
+PAIRS = "np AS (SELECT doc_id AS qi, doc_id + 1 AS pj FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents))"
+PARTS = """parts AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS name, p_size || ' ' || p_brand || ' Road, ' || (p_partkey % 89) AS addr, CASE WHEN p_size % 2 = 0 THEN 'US' ELSE 'India' END AS country FROM part),
+pp AS (SELECT a.id AS qi, b.id AS pj, a.name AS nq, b.name AS nc, a.addr AS aq, b.addr AS ac FROM parts a JOIN parts b ON b.id = a.id + 1)"""
 
 
 def _scored(spark, sf):
@@ -82,65 +85,111 @@ def knn_block(spark, sf):
 
 @query(KNN)
 def knn_blocked(spark, sf):
-    return longs(block.knn_blocked(*V.vectors(spark, sf), rows=64), "fwd_rank", "rev_rank")
+    return longs(block.knn(*V.vectors(spark, sf), rows=64), "fwd_rank", "rev_rank")
+
+
+MASKED = """q2 AS (SELECT *, qi % 20 = 0 AS need FROM q WHERE NOT (qi % 100 >= 30 AND qi % 100 < 49)), pr AS (SELECT qi, pj, need, round(list_inner_product(CAST(q2.v AS DOUBLE[]), CAST(p.v AS DOUBLE[])), 6) AS cos FROM q2 JOIN p USING (country)),
+f0 AS (SELECT qi, pj, cos, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, pj) - 1 AS fwd_rank FROM pr WHERE need), r0 AS (SELECT qi, pj, cos, need, row_number() OVER (PARTITION BY pj ORDER BY cos DESC, qi) - 1 AS rev_rank FROM pr),
+tq AS (SELECT qi, cos AS q1 FROM f0 WHERE fwd_rank = 0), tp AS (SELECT pj, cos AS p1 FROM r0 WHERE rev_rank = 0), f AS (SELECT * FROM f0 WHERE fwd_rank < {k}), r AS (SELECT * FROM r0 WHERE need AND rev_rank < {m}),
+e AS (SELECT coalesce(f.qi, r.qi) AS qi, coalesce(f.pj, r.pj) AS pj, coalesce(f.cos, r.cos) AS cos, fwd_rank, rev_rank FROM f FULL JOIN r ON f.qi = r.qi AND f.pj = r.pj)
+SELECT e.qi, e.pj, cos, fwd_rank, rev_rank, round(q1 - cos, 6) AS gap_q, round(p1 - cos, 6) AS rev_margin, CASE WHEN fwd_rank = 0 AND rev_rank = 0 THEN 1 ELSE 0 END AS mutual, count(*) OVER (PARTITION BY e.qi) AS n_cand_q, CASE WHEN e.pj % 2 = 1 THEN 1 ELSE 0 END AS is_s3
+FROM e LEFT JOIN tq USING (qi) LEFT JOIN tp USING (pj)"""
+
+
+def _masked(spark, sf, k, m):
+    q, p = V.vectors(spark, sf)
+    q = prepare.visible(q, (F.col("qi") % 100) / 100).withColumn("need", F.col("qi") % 20 == 0)
+    return longs(block.knn(q, p.withColumn("src", F.when(F.col("pj") % 2 == 1, "S3").otherwise("S2")), k, m), "fwd_rank", "rev_rank")
+
+
+@query(f"WITH {VECTORS}, {MASKED.format(k=10, m=3)}")
+def knn_masked(spark, sf):
+    return _masked(spark, sf, 10, 3)
+
+
+@query(f"WITH {VECTORS}, {MASKED.format(k=10, m=0)}")
+def knn_forward_only(spark, sf):
+    return _masked(spark, sf, 10, 0)
+
+
+@query(f"WITH {VECTORS}, {MASKED.format(k=0, m=3)}")
+def knn_reverse_only(spark, sf):
+    return _masked(spark, sf, 0, 3)
+
+
+@query(f"WITH x AS ({KNN}) SELECT qi, pj FROM x WHERE fwd_rank < 2 OR rev_rank IS NOT NULL")
+def found_or_near(spark, sf):
+    return block.found_or_near(block.knn(*V.vectors(spark, sf)), 2).select("qi", "pj")
 
 
 @query(f"WITH {VECTORS} SELECT qi, pj, cos, fwd_rank FROM fwd")
 def knn_forward_topk(spark, sf):
-    return longs(block.ranked(block.scored_pairs(*V.vectors(spark, sf)), "qi", "pj", 10, "fwd_rank"), "fwd_rank")
+    return longs(block.forward_topk(*V.vectors(spark, sf), 10), "fwd_rank")
 
 
 @query(f"WITH {VECTORS} SELECT qi, pj, cos, rev_rank FROM rev")
 def knn_reverse_topk(spark, sf):
-    return longs(block.ranked(block.scored_pairs(*V.vectors(spark, sf)), "pj", "qi", 3, "rev_rank"), "rev_rank")
+    return longs(block.reverse_topk(*V.vectors(spark, sf), 3), "rev_rank")
 
 
 @query(f"WITH {VECTORS} SELECT qi, pj, cos, fwd_rank FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY fwd_rank) AS r FROM fwd WHERE (qi + pj) % 4 <> 0) WHERE r = 1")
 def hard_negative(spark, sf):
-    q, p = V.vectors(spark, sf)
-    pairs = block.scored_pairs(q, p)
-    return longs(block.hard_negatives(block.ranked(pairs, "qi", "pj", 10, "fwd_rank"), pairs.where("(qi + pj) % 4 = 0")), "fwd_rank")
+    near = block.forward_topk(*V.vectors(spark, sf), 10)
+    return longs(block.hard_negatives(near, near.where("(qi + pj) % 4 = 0")), "fwd_rank")
 
 
 @query()
 def ivf_probe(spark, sf):
-    return block.knn_ivf(*V.vectors(spark, sf), k=10, lists=16, probes=8)
+    return block.search(*V.vectors(spark, sf), 10, index="ivf", probes=8)
 
 
 @query(f"""WITH {VECTORS}, u AS (SELECT qi, pj FROM fwd WHERE fwd_rank < 5 UNION SELECT qi, pj FROM rev WHERE rev_rank < 1) SELECT qi, pj FROM u""")
 def union_candidates(spark, sf):
-    pairs = block.scored_pairs(*V.vectors(spark, sf))
-    return block.ranked(pairs, "qi", "pj", 5, "r").select("qi", "pj").union(block.ranked(pairs, "pj", "qi", 1, "r").select("qi", "pj")).distinct()
+    forward, reverse = block.nearest(*V.vectors(spark, sf), 5, 1)
+    return forward.select("qi", "pj").union(reverse.select("qi", "pj")).distinct()
 
 
 @query(f"""WITH {VECTORS}, g AS (SELECT qi, min(CASE WHEN fwd_rank = 0 THEN cos END) - min(CASE WHEN fwd_rank = 1 THEN cos END) AS gap FROM fwd GROUP BY qi) SELECT qi, round(gap, 6) AS gap FROM g""")
 def top_gap(spark, sf):
-    f = block.ranked(block.scored_pairs(*V.vectors(spark, sf)), "qi", "pj", 2, "r")
-    return f.groupBy("qi").agg(F.round(F.min(F.when(F.col("r") == 0, F.col("cos"))) - F.min(F.when(F.col("r") == 1, F.col("cos"))), 6).alias("gap"))
+    f = block.forward_topk(*V.vectors(spark, sf), 2)
+    return f.groupBy("qi").agg(F.round(F.min(F.when(F.col("fwd_rank") == 0, F.col("cos"))) - F.min(F.when(F.col("fwd_rank") == 1, F.col("cos"))), 6).alias("gap"))
+
+
+NUMS = "list_distinct(list_transform(regexp_extract_all({}, '[0-9]+'), lambda t: CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END))"
+KEYS = f"""{NAMED}, nt AS (SELECT doc_id, country, unnest(list_distinct({WORDS.format('name')})) AS token FROM named), ad AS (SELECT doc_id, country, unnest(list_distinct({WORDS.format('addr')})) AS token FROM named), nu AS (SELECT doc_id, country, unnest({NUMS.format('addr')}) AS token FROM named),
+ndf AS (SELECT country, token, count(*) AS df FROM nt GROUP BY 1, 2), adf AS (SELECT country, token, count(*) AS df FROM ad GROUP BY 1, 2),
+k AS (SELECT doc_id, 'n:' || country || ':' || token AS key FROM (SELECT nt.*, row_number() OVER (PARTITION BY doc_id ORDER BY df, token) AS r FROM nt JOIN ndf USING (country, token)) WHERE r <= 2
+ UNION SELECT doc_id, 'a:' || country || ':' || token FROM (SELECT ad.*, row_number() OVER (PARTITION BY doc_id ORDER BY df, token) AS r FROM ad JOIN adf USING (country, token)) WHERE r <= 1
+ UNION SELECT doc_id, 'd:' || country || ':' || token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(token) DESC, token) AS r FROM nu) WHERE r <= 3)"""
+
 
+def _keys(spark, sf):
+    d = V.named(spark, sf)
+    name, addr = V.words(F.col("name")), V.words(F.col("addr"))
+    return block.derived_keys(d, "doc_id", name, addr, T.numbers(F.col("addr")), vocab.document_frequency(d, name), vocab.document_frequency(d, addr))
 
-def _keys(df, key):
-    w = V.words(F.col("name"))
-    return df.select(key, F.array(F.concat(F.lit("n:"), F.col("country"), F.lit(":"), F.coalesce(F.get(w, F.lit(0)), F.lit(""))), F.concat(F.lit("s:"), F.col("country"), F.lit(":"), F.split("addr", ",")[0]), F.concat(F.lit("d:"), F.col("addr"))).alias("keys"))
 
+@query(f"WITH {KEYS} SELECT doc_id, string_agg(key, ',' ORDER BY key) AS keys FROM k GROUP BY doc_id")
+def key_block_derived(spark, sf):
+    return _keys(spark, sf).select("doc_id", F.array_join("keys", ",").alias("keys"))
 
-@query(f"""WITH {NAMED}, k AS (SELECT doc_id, unnest(list_distinct(['n:' || country || ':' || coalesce({WORDS.format('name')}[1], ''), 's:' || country || ':' || string_split(addr, ',')[1], 'd:' || addr])) AS key FROM named),
-rare AS (SELECT key FROM k WHERE doc_id % 5 <> 0 GROUP BY key HAVING count(*) <= 20)
-SELECT a.doc_id AS qi, b.doc_id AS pj, count(*) AS n_keys FROM k a JOIN k b USING (key) JOIN rare USING (key) WHERE a.doc_id % 5 = 0 AND b.doc_id % 5 <> 0 GROUP BY 1, 2""")
+
+@query(f"""WITH {KEYS}, rare AS (SELECT key FROM k GROUP BY key HAVING count(*) <= 200)
+SELECT a.doc_id AS qi, b.doc_id AS pj, count(*) AS n_keys FROM k a JOIN k b USING (key) JOIN rare USING (key) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2""")
 def key_block_capped(spark, sf):
-    q, p = V.named_sides(spark, sf)
-    return block.key_block(_keys(q, "qi"), _keys(p, "pj"), cap=20)
+    k = _keys(spark, sf)
+    return block.key_block(k.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qi"), k.withColumnRenamed("doc_id", "pj")).where("qi <> pj")
 
 
-@query(f"""WITH {NAMED}, t AS (SELECT doc_id, unnest(list_distinct({WORDS.format('name')})) AS token FROM named), rare AS (SELECT token FROM t WHERE doc_id % 5 <> 0 GROUP BY token HAVING count(*) <= 5),
-c AS (SELECT a.doc_id AS qi, b.doc_id AS pj, count(*) AS t FROM t a JOIN t b USING (token) JOIN rare USING (token) WHERE a.doc_id % 5 = 0 AND b.doc_id % 5 <> 0 GROUP BY 1, 2)
+@query(f"""WITH {NAMED}, t AS (SELECT doc_id, unnest(list_distinct({WORDS.format('name')})) AS token FROM named), rare AS (SELECT token FROM t GROUP BY token HAVING count(*) <= greatest(20, floor(0.01 * (SELECT count(*) FROM named)))),
+c AS (SELECT a.doc_id AS qi, b.doc_id AS pj, count(*) AS t FROM t a JOIN t b USING (token) JOIN rare USING (token) WHERE a.doc_id % 100 = 0 GROUP BY 1, 2)
 SELECT qi, count(*) AS n_cand, max(t) AS n_tokens FROM c GROUP BY qi""")
 def inverted_index_dfcap(spark, sf):
     q, p = (d.withColumn("words", V.words(F.col("name"))) for d in V.named_sides(spark, sf))
-    return profile.inverted_lookup(q, p, 5)
+    return profile.inverted_lookup(q, p)
 
 
-@query(f"""WITH {NAMED}, c AS (SELECT a.doc_id AS qi, count(*) AS n FROM named a JOIN named b ON a.country = b.country AND a.name = b.name WHERE a.doc_id % 5 = 0 AND b.doc_id % 5 <> 0 GROUP BY 1)
+@query(f"""WITH {NAMED}, c AS (SELECT a.doc_id AS qi, count(*) AS n FROM named a JOIN named b ON a.country = b.country AND a.name = b.name WHERE a.doc_id % 100 = 0 GROUP BY 1)
 SELECT count(*) AS n_queries, sum(n)::BIGINT AS n_pairs, sum(least(n, 20))::BIGINT AS n_capped FROM c""")
 def core_name_join_cost(spark, sf):
     q, p = V.named_sides(spark, sf)
@@ -153,15 +202,29 @@ g AS (SELECT doc_id, country, substr(w, i, 3) AS term FROM (SELECT *, unnest(ran
 tf AS (SELECT doc_id, country, term, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM named), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
 wt AS (SELECT doc_id, country, term, tf * (ln(CAST(1 + n AS DOUBLE) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
 v AS (SELECT doc_id, country, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt),
-s AS (SELECT a.doc_id AS qi, b.doc_id AS pj, round(sum(a.w * b.w), 6) AS cos FROM v a JOIN v b ON a.country = b.country AND a.term = b.term WHERE a.doc_id % 5 = 0 AND b.doc_id % 5 <> 0 GROUP BY 1, 2)
+s AS (SELECT a.doc_id AS qi, b.doc_id AS pj, round(sum(a.w * b.w), 6) AS cos FROM v a JOIN v b ON a.country = b.country AND a.term = b.term WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2)
 SELECT qi, fwd_rank, round(cos, 4) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, pj) - 1 AS fwd_rank FROM s) WHERE fwd_rank < 5""")
 def tfidf_trigram_topk(spark, sf):
     d = V.named(spark, sf).withColumn("terms", T.word_grams(F.array_join(V.words(F.col("name")), " ")))
     v = block.sparse_vectors(d, "doc_id", "terms")
-    top = block.sparse_topk(v.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "qi"), v.where("doc_id % 5 <> 0").withColumnRenamed("doc_id", "pj"), 5)
+    # One more than wanted, as a query finds itself.
+    top = block.sparse_topk(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qi"), v.withColumnRenamed("doc_id", "pj"), 6).where("qi <> pj")
+    top = block.ranked(top.drop("fwd_rank"), "qi", "pj", 5, "fwd_rank")
     return top.select("qi", F.col("fwd_rank").cast("long").alias("fwd_rank"), F.round("cos", 4).alias("cos"))
 
 
+@query(ORACLES["tfidf_trigram_topk"].split("s AS (SELECT a.doc_id AS qi")[0] + f"{PAIRS} SELECT qi, pj, round(coalesce(sum(a.w * b.w), 0), 6) AS cos FROM np LEFT JOIN v a ON a.doc_id = qi LEFT JOIN v b ON b.doc_id = pj AND b.term = a.term GROUP BY qi, pj")
+def pair_cos(spark, sf):
+    d = V.named(spark, sf).withColumn("terms", T.word_grams(F.array_join(V.words(F.col("name")), " ")))
+    v = block.sparse_vectors(d, "doc_id", "terms")
+    return block.pair_cosine(V.name_pairs(spark, sf), v.withColumnRenamed("doc_id", "qi"), v.withColumnRenamed("doc_id", "pj"))
+
+
+@query(f"""WITH {NAMED}, t AS (SELECT DISTINCT country, doc_id, unnest({WORDS.format('name')}) AS t FROM named) SELECT country, CAST({DRAWN_SQL.format("t || ':0'")} % 2097152 AS BIGINT) AS bucket, count(DISTINCT doc_id) AS df FROM t GROUP BY 1, 2""")
+def hashed_df(spark, sf):
+    return vocab.hashed_frequency(V.named(spark, sf), "doc_id", V.words(F.col("name")))
+
+
 # ---------------------------------------------------------------- vocabularies
 @query(f"""WITH {NAMED}, t AS (SELECT country, unnest(list_distinct({WORDS.format('name')})) AS token FROM named), n AS (SELECT country, count(*) AS n FROM named GROUP BY country)
 SELECT country, token, count(*) AS df, round(ln(CAST(any_value(n) + 1 AS DOUBLE) / (count(*) + 1)) + 1, 6) AS idf, round(ln(CAST(any_value(n) + 1 AS DOUBLE)) + 1, 6) AS idf_default FROM t JOIN n USING (country) GROUP BY country, token HAVING count(*) >= 2""")
@@ -175,15 +238,17 @@ def trigram_idf(spark, sf):
     return rounded(vocab.inverse_frequency(V.named(spark, sf), T.trigrams(F.lower("name")), least_df=1), "idf").drop("idf_default")
 
 
-@query(f"""WITH {NAMED}, {PAIRS}, s1 AS (SELECT country, name, count(*) AS n FROM named WHERE doc_id % 5 = 0 AND doc_id % 10 <> 5 GROUP BY 1, 2), po AS (SELECT country, name, count(*) AS n FROM named WHERE doc_id % 5 <> 0 GROUP BY 1, 2)
+@query(f"""WITH {NAMED}, {PAIRS}, s1 AS (SELECT country, name, count(*) AS n FROM named WHERE doc_id % 2 = 0 AND doc_id % 10 <> 4 GROUP BY 1, 2), po AS (SELECT country, name, count(*) AS n FROM named WHERE doc_id % 2 = 1 GROUP BY 1, 2)
 SELECT qi, pj, coalesce(s1q.n, 0) AS n_s1_core_q, coalesce(s1c.n, 0) AS n_s1_core_c, coalesce(pc.n, 0) AS n_pool_core_c, coalesce(pq.n, 0) AS n_pool_core_q,
  CASE WHEN q.name = c.name AND q.country = c.country AND coalesce(s1c.n, 0) = 1 THEN 1 ELSE 0 END AS core_c_eq_unique_s1
 FROM np JOIN named q ON q.doc_id = qi JOIN named c ON c.doc_id = pj LEFT JOIN s1 s1q ON s1q.country = q.country AND s1q.name = q.name LEFT JOIN s1 s1c ON s1c.country = c.country AND s1c.name = c.name
 LEFT JOIN po pc ON pc.country = c.country AND pc.name = c.name LEFT JOIN po pq ON pq.country = q.country AND pq.name = q.name""")
 def core_uniqueness(spark, sf):
-    q, p = V.named_sides(spark, sf)
-    s1, pool = q.select("country", F.col("name").alias("core"), (F.col("qi") % 10 != 5).alias("present")), p.select("country", F.col("name").alias("core"))
-    pairs = V.name_pairs(spark, sf).join(q.select("qi", F.col("name").alias("core_q"), F.col("country").alias("country_q")), "qi").join(p.select("pj", F.col("name").alias("core_c"), F.col("country").alias("country_c")), "pj")
+    # Both tables: documents of even and of odd numbers.
+    d = V.named(spark, sf)
+    s1, pool = d.where("doc_id % 2 = 0").select("country", F.col("name").alias("core"), (F.col("doc_id") % 10 != 4).alias("present")), d.where("doc_id % 2 = 1").select("country", F.col("name").alias("core"))
+    side = lambda key, x: d.select(F.col("doc_id").alias(key), F.col("name").alias(f"core_{x}"), F.col("country").alias(f"country_{x}"))
+    pairs = V.name_pairs(spark, sf).join(side("qi", "q"), "qi").join(side("pj", "c"), "pj")
     out = vocab.uniqueness(pairs, s1, pool)
     return out.select("qi", "pj", "n_s1_core_q", "n_s1_core_c", "n_pool_core_c", "n_pool_core_q", F.col("core_c_eq_unique_s1").cast("int").alias("core_c_eq_unique_s1"))
 
@@ -202,9 +267,9 @@ JOINED = f"{NAMED}, {PAIRS}, pr AS (SELECT qi, pj, {WORDS.format('q.name')} AS a
 
 
 def _pairs(spark, sf):
-    q, p = V.named_sides(spark, sf)
-    left = q.select("qi", "country", F.col("name").alias("nq"), F.col("addr").alias("aq"), F.array_distinct(V.words(F.col("name"))).alias("x"))
-    right = p.select("pj", F.col("name").alias("nc"), F.col("addr").alias("ac"), F.array_distinct(V.words(F.col("name"))).alias("y"))
+    d = V.named(spark, sf)
+    left = d.select(F.col("doc_id").alias("qi"), "country", F.col("name").alias("nq"), F.col("addr").alias("aq"), F.array_distinct(V.words(F.col("name"))).alias("x"))
+    right = d.select(F.col("doc_id").alias("pj"), F.col("name").alias("nc"), F.col("addr").alias("ac"), F.array_distinct(V.words(F.col("name"))).alias("y"))
     return V.name_pairs(spark, sf).join(left, "qi").join(right, "pj")
 
 
@@ -237,6 +302,11 @@ def trigram_jaccard(spark, sf):
     return longs(rounded(_pairs(spark, sf).select("qi", "pj", F.size(a).alias("n_q"), F.size(b).alias("n_c"), S.jaccard(a, b).alias("tri_j")), "tri_j"), "n_q", "n_c")
 
 
+def _part_pairs(spark, sf):
+    d = V.parts(spark, sf)
+    return V.part_pairs(spark, sf).join(d.select(F.col("id").alias("qi"), F.col("name").alias("nq"), F.col("addr").alias("aq")), "qi").join(d.select(F.col("id").alias("pj"), F.col("name").alias("nc"), F.col("addr").alias("ac")), "pj")
+
+
 @query(rf"WITH {JOINED} SELECT qi, pj, round(jaro_winkler_similarity(regexp_replace(nq, '[^\x00-\x7F]', '', 'g'), regexp_replace(nc, '[^\x00-\x7F]', '', 'g')), 6) AS jw FROM pr")
 def jaro_winkler(spark, sf):
     # The oracle compares bytes: plain ASCII agrees.
@@ -244,9 +314,18 @@ def jaro_winkler(spark, sf):
     return rounded(_pairs(spark, sf).select("qi", "pj", S.jaro_winkler_udf(plain("nq"), plain("nc")).alias("jw")), "jw")
 
 
+@query(f"""WITH RECURSIVE {PARTS}, s AS (SELECT DISTINCT nq AS a, nc AS b FROM pp),
+rows_(a, b, i, row_) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda j: 0) FROM s
+ UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN row_[j] + 1 ELSE greatest(row_[j + 1], acc[-1]) END), [0]) FROM rows_ WHERE i < length(a))
+SELECT qi, pj, round(2 * row_[-1] / CAST(length(a) + length(b) AS DOUBLE), 6) AS ratio FROM pp JOIN rows_ ON a = nq AND b = nc AND i = length(a)""")
+def sequence_ratio(spark, sf):
+    return rounded(_part_pairs(spark, sf).select("qi", "pj", S.ratio_udf("nq", "nc").alias("ratio")), "ratio")
+
+
 @query()
 def string_ratios(spark, sf):
-    return _pairs(spark, sf).select("qi", "pj", S.ratio_udf("nq", "nc").alias("ratio"), S.sort_ratio_udf("nq", "nc").alias("sort_ratio"), S.set_ratio_udf("nq", "nc").alias("set_ratio"), S.partial_ratio_udf(F.left("nq", F.lit(12)), "nc").alias("partial"))
+    d = _part_pairs(spark, sf)
+    return d.select("qi", "pj", S.ratio_udf("nq", "nc").alias("ratio"), S.sort_ratio_udf("nq", "nc").alias("sort_ratio"), S.set_ratio_udf("nq", "nc").alias("set_ratio"), S.partial_ratio_udf("aq", "nc").alias("partial"))
 
 
 @query(f"""WITH {JOINED}, z AS (SELECT qi, pj, list_distinct(list_transform(regexp_extract_all(aq, '[0-9]+'), lambda t: CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END)) AS x, list_distinct(list_transform(regexp_extract_all(ac, '[0-9]+'), lambda t: CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END)) AS y FROM pr),
@@ -291,18 +370,13 @@ def canonical_tokens(spark, sf):
 
 @query()
 def pair_features(spark, sf):
-    q, p = V.named_sides(spark, sf)
-    rq, rp = features.records(q.select("qi", "name", "addr", "country"), "qi"), features.records(p.select("pj", "name", "addr", "country"), "pj")
-    pairs = features.pair_up(V.name_pairs(spark, sf), rq, rp)
-
-    def maps(column: str, name: str, least: int) -> DataFrame:
-        t = vocab.inverse_frequency(rp.select("country", column), F.col(column), least_df=least)
-        return t.groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias(name), F.first("idf_default").alias(f"{name}_default"))
-
-    # The maps of a country are as large as its vocabulary: the form for few countries. The term-join form is idf_overlap.
+    r = features.records(V.parts(spark, sf), "id")
     for column, name, least in (("name_tok", "idf_name", 2), ("addr_tok", "idf_addr", 2), ("name_tri", "idf_name3", 1), ("addr_tri", "idf_addr3", 1)):
-        pairs = pairs.join(maps(column, name, least), F.col("q.country") == F.col("country"), "left").drop("country")
-    pairs = pairs.withColumnsRenamed({"idf_name_default": "idf_default", "idf_name3_default": "idf_default3"})
+        r = features.with_weights(r, "id", column, name, vocab.inverse_frequency(r.select("country", column), F.col(column), least_df=least))
+    sizes = r.groupBy("country").agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("idf_default"))
+    pairs = features.pair_up(V.part_pairs(spark, sf), r.withColumnRenamed("id", "qi"), r.withColumnRenamed("id", "pj"))
+    pairs = features.with_pair_weights(pairs, ("idf_name", "idf_addr", "idf_name3", "idf_addr3"))
+    pairs = pairs.join(sizes, F.col("q.country") == F.col("country"), "left").withColumn("idf_default3", F.col("idf_default"))
     return features.with_features(pairs, features.set_features(), features.idf_features(), features.string_features(), features.number_features())
 
 
@@ -332,13 +406,19 @@ def sibling_features(spark, sf):
     return rounded(group.sibling_features(V.scored(spark, sf), _pool(spark, sf)), "s2_sib_name_j", "s2_sib_addr_j")
 
 
+@query(f"SELECT * FROM ({ORACLES['stage2_group']}) JOIN ({ORACLES['claim_group']}) USING (qi, pj) JOIN ({ORACLES['sibling_features']}) USING (qi, pj)")
+def stage2_vector(spark, sf):
+    v = group.stage2_vector(V.scored(spark, sf), _pool(spark, sf)).drop("p", "src")
+    return longs(rounded(v, "s2_pmax_q", "s2_prel", "s2_psum_q", "s2_pmax_other_pj", "s2_sib_name_j", "s2_sib_addr_j"), "s2_rank_q", "s2_rank_pj")
+
+
 @query(f"""WITH {VECTORS}, d AS (SELECT f.qi, f.pj, round(abs(cos), 6) AS p, CASE WHEN f.pj % 2 = 0 THEN 'S2' ELSE 'S3' END AS src, v, f.pj % 7 AS core, row_number() OVER (PARTITION BY f.qi ORDER BY round(abs(cos), 6) DESC, f.pj) AS rk FROM fwd f JOIN p ON p.pj = f.pj),
 j AS (SELECT a.qi, a.pj, b.p AS p2, a.src <> b.src AS other, a.core = b.core AS same, list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS c, b.rk = CASE WHEN a.rk = 1 THEN 2 ELSE 1 END AS top FROM d a JOIN d b ON a.qi = b.qi AND a.pj <> b.pj)
 SELECT qi, pj, round(sum(p2 * c) / sum(p2), 6) AS x_emb_wmean, round(max(CASE WHEN p2 > 0.5 THEN c END), 6) AS x_emb_max_hi, count(CASE WHEN p2 > 0.5 AND c > 0.9 THEN 1 END) AS x_emb_n_close_hi, round(max(CASE WHEN p2 > 0.5 AND other THEN c END), 6) AS x_emb_max_hi_other,
  round(max(CASE WHEN top THEN c END), 6) AS x_emb_sib_top, count(CASE WHEN p2 > 0.5 AND same THEN 1 END) AS x_sib_core_hi FROM j GROUP BY qi, pj""")
 def group_self_join(spark, sf):
     q, p = V.vectors(spark, sf)
-    d = block.ranked(block.scored_pairs(q, p), "qi", "pj", 10, "r").select("qi", "pj", F.round(F.abs("cos"), 6).alias("p"), F.when(F.col("pj") % 2 == 0, "S2").otherwise("S3").alias("src"))
+    d = block.forward_topk(q, p, 10).select("qi", "pj", F.round(F.abs("cos"), 6).alias("p"), F.when(F.col("pj") % 2 == 0, "S2").otherwise("S3").alias("src"))
     return rounded(group.cluster_features(d, p.select("pj", "vec", (F.col("pj") % 7).alias("core"))), "x_emb_wmean", "x_emb_max_hi", "x_emb_max_hi_other", "x_emb_sib_top")
 
 
@@ -386,9 +466,9 @@ def rule_expected_f(spark, sf):
     return _shown(decide.expected_f(decide.prepare_rules(V.scored(spark, sf)), 0.05))
 
 
-@query(f"WITH {SCORED}, {ONE}, {PREP} SELECT qi, pj, round(p, 6) AS p FROM prep WHERE CAST(qi % 10 AS DOUBLE) / 10 >= 0.3 AND ((r = 0 AND p >= 0.3) OR (r > 0 AND p >= 0.8))")
+@query(f"WITH {SCORED}, {ONE}, {PREP} SELECT qi, pj, round(p, 6) AS p FROM prep WHERE 1 - exp(none) >= 0.3 AND ((r = 0 AND p >= 0.3) OR (r > 0 AND p >= 0.8))")
 def rule_gated(spark, sf):
-    return _shown(decide.prepare_rules(V.scored(spark, sf)).withColumn("e", (F.col("qi") % 10).cast("double") / 10).where(decide.gated(0.3, 0.3, 0.8)))
+    return _shown(decide.prepare_rules(V.scored(spark, sf)).withColumn("e", decide.any_match()).where(decide.gated(0.3, 0.3, 0.8)))
 
 
 @query(f"""WITH {SCORED}, {OWNERS}, {ENTITIES}, {ONE}, {PREP}, g AS (SELECT i AS point, CAST(0.3e0 + 0.025e0 * i AS DECIMAL(9, 3))::DOUBLE AS t FROM range(27) x(i)),
@@ -401,12 +481,69 @@ def rule_grid_search(spark, sf):
     return longs(rounded(decide.grid_search(prep, e.select("qi", "k"), decide.threshold, decide.GRIDS["threshold"]).drop("params"), "f05"), "point")
 
 
+def _hit(spark, sf):
+    s, own, e = _scored(spark, sf)
+    prep = decide.prepare_rules(s).join(own, "pj", "left").withColumn("hit", F.coalesce(F.col("owner") == F.col("qi"), F.lit(False))).withColumn("e", decide.any_match())
+    return prep, e
+
+
+GRID = """WITH {parts}, g(point, a, b, c) AS (VALUES {points}), x AS (SELECT point, qi, count(*) AS n, count(*) FILTER (WHERE owner = qi) AS tp FROM prep LEFT JOIN owners USING (pj), g WHERE {keep} GROUP BY point, qi),
+per AS (SELECT g.point, e.qi, e.k, coalesce(n, 0) AS npred, coalesce(tp, 0) AS tp FROM entities e CROSS JOIN g LEFT JOIN x ON x.qi = e.qi AND x.point = g.point) SELECT point, round(avg({f05}), 6) AS f05 FROM per GROUP BY point"""
+
+
+def _grid_sql(rule: str, keep: str) -> str:
+    points = ", ".join(f"({i}, {', '.join(f'{v}::DOUBLE' for v in (*x, 0, 0)[:3])})" for i, x in enumerate(decide.GRIDS[rule]))
+    return GRID.format(parts=f"{SCORED}, {OWNERS}, {ENTITIES}, {ONE}, {PREP}", points=points, keep=keep, f05=F05)
+
+
+def _grid(rule: str, keep: str) -> None:
+    def run(spark, sf):
+        prep, e = _hit(spark, sf)
+        return longs(rounded(decide.tune(prep, e.select("qi", "k"), rule).drop("params"), "f05"), "point")
+
+    run.__name__ = f"rule_grid_{rule}"
+    query(_grid_sql(rule, keep))(run)
+
+
+_grid("top1_plus", "(r = 0 AND p >= a) OR (r > 0 AND p >= b)")
+_grid("relative", "p >= a AND p >= mx * b")
+_grid("gated", "1 - exp(none) >= a AND ((r = 0 AND p >= b) OR (r > 0 AND p >= c))")
+
+
+@query(f"""WITH {SCORED}, {OWNERS}, {ENTITIES}, {ONE}, {PREP}, g(point, c) AS (VALUES (0, 0.0::DOUBLE), (1, 0.05::DOUBLE), (2, 0.1::DOUBLE), (3, 0.2::DOUBLE)), ef AS (SELECT *, round(1.25e0 * run / (0.25e0 * (total + c) + r + 1), 12) AS ef FROM prep, g),
+b AS (SELECT *, max(ef) OVER (PARTITION BY point, qi) AS best FROM ef), m AS (SELECT *, min(CASE WHEN ef = best THEN r + 1 END) OVER (PARTITION BY point, qi) AS m FROM b),
+x AS (SELECT point, qi, count(*) AS n, count(*) FILTER (WHERE owner = qi) AS tp FROM m LEFT JOIN owners USING (pj) WHERE r + 1 <= m AND best > exp(none - c) GROUP BY point, qi),
+per AS (SELECT g.point, e.qi, e.k, coalesce(n, 0) AS npred, coalesce(tp, 0) AS tp FROM entities e CROSS JOIN g LEFT JOIN x ON x.qi = e.qi AND x.point = g.point) SELECT point, round(avg({F05}), 6) AS f05 FROM per GROUP BY point""")
+def rule_grid_expected_f(spark, sf):
+    prep, e = _hit(spark, sf)
+    return longs(rounded(decide.tune(prep, e.select("qi", "k"), "expected_f").drop("params"), "f05"), "point")
+
+
+@query(f"""WITH {SCORED}, {OWNERS}, {ENTITIES}, {ONE}, {PREP}, g AS (SELECT i AS point, CAST(0.3e0 + 0.025e0 * i AS DECIMAL(9, 3))::DOUBLE AS t FROM range(27) x(i)),
+x AS (SELECT point, qi, count(*) AS n, count(*) FILTER (WHERE owner = qi) AS tp FROM prep LEFT JOIN owners USING (pj), g WHERE p >= t GROUP BY point, qi),
+per AS (SELECT g.point, e.qi, e.k, coalesce(n, 0) AS npred, coalesce(tp, 0) AS tp FROM entities e CROSS JOIN g LEFT JOIN x ON x.qi = e.qi AND x.point = g.point),
+s AS (SELECT point, round(avg(CASE WHEN qi % 5 < 3 THEN {F05} END), 9) AS a, round(avg(CASE WHEN qi % 5 >= 3 THEN {F05} END), 9) AS b FROM per GROUP BY point)
+SELECT 'threshold' AS rule, point, round(a, 6) AS f05_tune, round(b, 6) AS f05 FROM s ORDER BY a DESC, point LIMIT 1""")
+def rule_choose(spark, sf):
+    prep, e = _hit(spark, sf)
+    best = decide.choose(prep, e.withColumn("fold", F.col("qi") % 5).select("qi", "k", "fold"), ("threshold",))
+    point = F.lit(0)
+    for i, x in enumerate(decide.GRIDS["threshold"]):
+        point = F.when(F.col("params") == ",".join(map(str, x)), i).otherwise(point)
+    return rounded(longs(best.withColumn("point", point), "point").select("rule", "point", "f05_tune", "f05"), "f05_tune", "f05")
+
+
+@query(f"WITH {SCORED} SELECT qi, pj, rank FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pj) - 1 AS rank FROM scored WHERE p >= 0.5) WHERE rank < 3")
+def capped_threshold(spark, sf):
+    return longs(block.capped(V.scored(spark, sf), 3, 0.5).select("qi", "pj", "rank"), "rank")
+
+
 @query(f"""WITH {SCORED}, {OWNERS}, h AS (SELECT p FROM scored JOIN owners USING (pj) WHERE owner = qi), g AS (SELECT unnest([0.0005e0, 0.001e0, 0.002e0, 0.003e0, 0.005e0, 0.01e0, 0.02e0]) AS t)
-SELECT coalesce(max(t), 0.0e0) AS t_cheap FROM g WHERE (SELECT count(*) FROM h WHERE p >= t) >= 0.99e0 * (SELECT count(*) FROM h)""")
+SELECT coalesce(max(t), 0.0e0) AS t_cheap FROM g WHERE (SELECT count(*) FROM h WHERE p >= t) >= 0.999e0 * (SELECT count(*) FROM h)""")
 def cheap_threshold(spark, sf):
     s, own, _ = _scored(spark, sf)
     d = s.join(own, "pj", "left").select(F.col("p").alias("pc"), F.coalesce(F.col("owner") == F.col("qi"), F.lit(False)).alias("hit"))
-    return metrics.cheap_threshold(d, [0.0005, 0.001, 0.002, 0.003, 0.005, 0.01, 0.02], 0.01)
+    return metrics.cheap_threshold(d, [0.0005, 0.001, 0.002, 0.003, 0.005, 0.01, 0.02])
 
 
 # ---------------------------------------------------------------- metrics
@@ -572,9 +709,9 @@ def profile_by_group(spark, sf):
     return rounded(profile.by_group(d, F.col("n_chars"), "country", "source"), "median", "p90", "mean")
 
 
-@query(f"WITH {SCORED}, {OWNERS}, {ENTITIES} SELECT least(k, 2) AS bin, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM entities GROUP BY 1")
+@query(f"WITH {SCORED}, {OWNERS}, {ENTITIES} SELECT least(k, 10) AS bin, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM entities GROUP BY 1")
 def match_histogram(spark, sf):
-    return rounded(profile.histogram(_scored(spark, sf)[2], most=2), "share")
+    return rounded(profile.histogram(_scored(spark, sf)[2]), "share")
 
 
 @query("SELECT lang, CAST(count(*) FILTER (WHERE quality = 0) AS BIGINT) AS \"0\", CAST(count(*) FILTER (WHERE quality = 1) AS BIGINT) AS \"1\" FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -635,10 +772,39 @@ def slice_masks(spark, sf):
     return o.select("o_orderkey", *(prepare.in_slice(F.col("prio"), n).alias(a) for n, a in (("A", "a"), ("B", "b"), ("FT", "ft"), ("dictionary", "dict"))), "present")
 
 
-@query()
+@query(f"SELECT o_orderkey, round({DRAWN_SQL.format("o_orderkey || ':42'")} / 4294967296e0, 6) AS prio, CAST({DRAWN_SQL.format("o_orderkey || ':7'")} % 5 AS BIGINT) AS fold FROM orders")
 def slice_folds(spark, sf):
     o = V.table(spark, sf, "orders").select("o_orderkey")
-    return o.select("o_orderkey", prepare.priority(F.col("o_orderkey")).alias("prio"), prepare.fold_of(F.col("o_orderkey")).alias("fold"))
+    return longs(rounded(o.select("o_orderkey", prepare.priority(F.col("o_orderkey")).alias("prio"), prepare.fold_of(F.col("o_orderkey")).alias("fold")), "prio"), "fold")
+
+
+@query(f"""WITH q AS (SELECT o_orderkey AS qi, o_orderpriority AS country FROM orders), p AS (SELECT p_partkey AS pj, CASE p_size % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS country FROM part),
+pos AS (SELECT DISTINCT l_orderkey AS qi, l_partkey AS pj FROM lineitem), sl AS (SELECT country, greatest(1, count(*) // 4) AS slots FROM p GROUP BY country),
+h AS (SELECT pj, country, {DRAWN_SQL.format("pj || ':42'")} % slots AS slot FROM p JOIN sl USING (country)), w AS (SELECT DISTINCT qi, country, {DRAWN_SQL.format("qi || '-' || i || ':42'")} % slots AS slot FROM q JOIN sl USING (country), range(2) r(i)),
+f AS (SELECT qi, pj FROM w JOIN h USING (country, slot) ANTI JOIN pos USING (qi, pj)) SELECT qi, pj FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY {DRAWN_SQL.format("qi || '-' || pj || ':42'")}, pj) AS r FROM f) WHERE r <= 2""")
+def negative_sampling(spark, sf):
+    q = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("qi"), F.col("o_orderpriority").alias("country"))
+    names = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("pj"), F.get(names, F.col("p_size") % 5).alias("country"))
+    pos = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qi"), F.col("l_partkey").alias("pj")).distinct()
+    return prepare.negatives(pos, q, p, 2)
+
+
+@query("""SELECT 'O-' || o_orderkey AS s1, 'C-' || o_custkey AS m, o_orderpriority AS q_prio, c_mktsegment AS c_segment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 100 >= 60""")
+def training_pairs(spark, sf):
+    s1 = V.table(spark, sf, "orders").where("o_orderkey % 100 >= 60").select(F.concat(F.lit("O-"), "o_orderkey").alias("entity_id"), "o_orderpriority")
+    pairs = V.table(spark, sf, "orders").select(F.concat(F.lit("O-"), "o_orderkey").alias("s1"), F.concat(F.lit("C-"), "o_custkey").alias("m"))
+    pool = V.table(spark, sf, "customer").select(F.concat(F.lit("C-"), "c_custkey").alias("entity_id"), "c_mktsegment")
+    return prepare.training_pairs(s1, pairs, pool).select("s1", "m", F.col("q.o_orderpriority").alias("q_prio"), F.col("c.c_mktsegment").alias("c_segment"))
+
+
+@query(f"""WITH o AS (SELECT 'C-' || c_custkey AS entity_id, CASE WHEN c_custkey % 4 > 0 THEN 'N-' || c_nationkey ELSE '' END AS owner FROM customer), n AS (SELECT 'N-' || n_nationkey AS owner FROM nation)
+SELECT entity_id, o.owner, round({DRAWN_SQL.format("coalesce(n.owner, entity_id) || ':42'")} / 4294967296e0, 6) AS prio, CAST({DRAWN_SQL.format("coalesce(n.owner, entity_id) || ':7'")} % 5 AS BIGINT) AS fold FROM o LEFT JOIN n ON n.owner = o.owner""")
+def owner_priority(spark, sf):
+    pool = V.table(spark, sf, "customer").select(F.concat(F.lit("C-"), "c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("N-"), "c_nationkey")).otherwise("").alias("owner"))
+    s1 = V.table(spark, sf, "nation").select(F.concat(F.lit("N-"), "n_nationkey").alias("entity_id"))
+    s1 = s1.withColumn("prio", prepare.priority(F.col("entity_id"))).withColumn("fold", prepare.fold_of(F.col("entity_id")))
+    return longs(rounded(prepare.propagated(pool, s1).select("entity_id", "owner", "prio", "fold"), "prio"), "fold")
 
 
 @query(f"""WITH {VECTORS}, q2 AS (SELECT * FROM q WHERE NOT (qi % 100 >= 30 AND qi % 100 < 49)), pr AS (SELECT qi, pj, round(list_inner_product(CAST(q2.v AS DOUBLE[]), CAST(p.v AS DOUBLE[])), 6) AS cos FROM q2 JOIN p USING (country))
@@ -646,7 +812,60 @@ SELECT qi, pj, cos, rev_rank FROM (SELECT *, row_number() OVER (PARTITION BY pj
 def density_mask(spark, sf):
     q, p = V.vectors(spark, sf)
     q = prepare.visible(q, (F.col("qi") % 100) / 100).where("present").drop("present")
-    return longs(block.ranked(block.scored_pairs(q, p), "pj", "qi", 3, "rev_rank"), "rev_rank")
+    return longs(block.reverse_topk(q, p, 3), "rev_rank")
+
+
+LABELLED = f"{SCORED}, {OWNERS}, la AS (SELECT s.*, coalesce(owner = qi, false) AS hit FROM scored s LEFT JOIN owners USING (pj))"
+
+
+def _hits(spark, sf):
+    s, own, _ = _scored(spark, sf)
+    return s.join(own, "pj", "left").withColumn("hit", F.coalesce(F.col("owner") == F.col("qi"), F.lit(False)))
+
+
+@query(f"WITH {LABELLED} SELECT src, hit, count(*) AS n, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p FROM la GROUP BY src, hit")
+def signal_means(spark, sf):
+    return rounded(profile.signal_means(_hits(spark, sf), ["p"], "src", "hit"), "mean_p", "median_p")
+
+
+@query(f"WITH {LABELLED}, k AS (SELECT *, CASE WHEN hit AND p < 0.6 THEN 'missed' WHEN NOT hit AND p >= 0.6 THEN 'false' ELSE 'right' END AS kind FROM la) SELECT kind, count(*) AS n, round(avg(p), 6) AS mean_p, round(quantile_cont(p, 0.1), 6) AS p10_p, round(quantile_cont(p, 0.5), 6) AS p50_p, round(quantile_cont(p, 0.9), 6) AS p90_p FROM k GROUP BY kind")
+def error_profile(spark, sf):
+    kind = F.when(F.col("hit") & (F.col("p") < 0.6), "missed").when(~F.col("hit") & (F.col("p") >= 0.6), "false").otherwise("right")
+    return rounded(profile.error_profile(_hits(spark, sf).withColumn("kind", kind), ["p"]), "mean_p", "p10_p", "p50_p", "p90_p")
+
+
+@query(f"WITH {LABELLED} SELECT qi, pj, round(p, 6) AS p FROM la WHERE hit ORDER BY la.p, qi, pj LIMIT 15")
+def hardest_pairs(spark, sf):
+    return rounded(profile.hardest(_hits(spark, sf).where("hit"), "p", 15, "qi", "pj").select("qi", "pj", "p"), "p")
+
+
+@query("SELECT n_regionkey, count(*) AS n, round(avg(CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) THEN 1 ELSE 0 END), 6) AS share FROM nation GROUP BY 1")
+def coverage_share(spark, sf):
+    used = V.table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return rounded(profile.coverage_share(V.table(spark, sf, "nation"), used, "n_nationkey", "n_regionkey"), "share")
+
+
+@query("SELECT s_nationkey, string_agg(s_suppkey, ',' ORDER BY s_suppkey) AS ids FROM supplier GROUP BY 1")
+def ids_by_group(spark, sf):
+    return profile.ids_by(V.table(spark, sf, "supplier"), "s_suppkey", "s_nationkey").select("s_nationkey", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"""WITH {SCORED}, {OWNERS}, {ENTITIES}, {NAMED}, q AS (SELECT src, count(*) AS n, round(avg(CASE WHEN k = 0 THEN 1 ELSE 0 END), 6) AS singletons FROM (SELECT k, CASE WHEN qi % 2 = 0 THEN 'S2' ELSE 'S3' END AS src FROM entities) GROUP BY src),
+p AS (SELECT src, count(*) AS pool, round(avg(CASE WHEN o.pj IS NULL THEN 1 ELSE 0 END), 6) AS distractors, round(avg(CASE WHEN regexp_matches(name, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END), 6) AS native FROM named LEFT JOIN owners o ON o.pj = doc_id GROUP BY src) SELECT * FROM q FULL JOIN p USING (src)""".replace("\\\\", "\\"))
+def universe_stats(spark, sf):
+    s, own, e = _scored(spark, sf)
+    pool = V.named(spark, sf).join(own.withColumnRenamed("pj", "doc_id"), "doc_id", "left").withColumn("owner", F.coalesce(F.col("owner").cast("string"), F.lit("")))
+    s1 = e.withColumn("src", F.when(F.col("qi") % 2 == 0, "S2").otherwise("S3"))
+    return rounded(profile.universe(s1, pool, T.is_non_ascii(F.col("name")), "src"), "singletons", "distractors", "native")
+
+
+@query("WITH t AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT count(*) AS n, CAST(0 AS BIGINT) AS alone, 0.0e0 AS q FROM t")
+def chunks_agree(spark, sf):
+    """A sum in one pass, and from chunks."""
+    li = V.table(spark, sf, "lineitem")
+    whole = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+    parts = li.groupBy("l_orderkey", (F.col("l_linenumber") % 3).alias("chunk")).agg(F.sum("l_quantity").alias("q")).groupBy("l_orderkey").agg(F.sum("q").alias("q"))
+    return rounded(profile.largest_difference(whole, parts, ["l_orderkey"], ["q"]), "q")
 
 
 @query(f"WITH {NAMED} SELECT doc_id, 'query: ' || name || CASE WHEN addr <> '' THEN ' , ' || addr ELSE '' END AS t FROM named")
@@ -657,33 +876,41 @@ def joint_text(spark, sf):
 # ---------------------------------------------------------------- models (rows only)
 def _labelled(spark, sf):
     s, own, _ = _scored(spark, sf)
-    d = group.claim_windows(group.query_windows(s)).join(own, "pj", "left").withColumn("label", F.coalesce(F.col("owner") == F.col("qi"), F.lit(False)).cast("int"))
-    return d.withColumn("fold", F.pmod("qi", F.lit(3))), ["p", "s2_rank_q", "s2_psum_q", "s2_nclaim_pj", "s2_pmax_other_pj"]
+    d = group.stage2_vector(s, _pool(spark, sf)).join(own, "pj", "left").withColumn("label", F.coalesce(F.col("owner") == F.col("qi"), F.lit(False)).cast("int"))
+    return d.withColumn("fold", prepare.fold_of(F.col("qi")).cast("int")), ["p", "s2_rank_q", "s2_prel", "s2_psum_q", "s2_nhi_q", "s2_nclaim_pj", "s2_rank_pj", "s2_pmax_other_pj", "s2_sib_name_j", "s2_sib_num"]
 
 
 @query()
 def score_oof(spark, sf):
+    """Boosted trees out of five folds on the stage-2 vector."""
     d, columns = _labelled(spark, sf)
-    return score.out_of_fold(d, columns, n=3, p="p2", kind="logistic").select("qi", "pj", "p2", "label")
+    return score.out_of_fold(d, columns, p="p2").select("qi", "pj", "p2", "label")
 
 
 @query()
 def score_calibrated(spark, sf):
     d, _ = _labelled(spark, sf)
-    return score.calibrate(d.select("qi", "pj", "p", "label", "fold"), n=3).select("qi", "pj", "p", "p_cal")
+    return score.calibrate(d.select("qi", "pj", "p", "label", "fold")).select("qi", "pj", "p", "p_cal")
 
 
 @query()
 def score_gbt(spark, sf):
     d, columns = _labelled(spark, sf)
-    model = score.fit(d, columns, maxIter=3, maxDepth=3)
-    return score.predict(model, d, columns, "p2").select("qi", "pj", "p2")
+    return score.predict(score.fit(d, columns), d, columns, "p2").select("qi", "pj", "p2")
+
+
+@query()
+def entity_match_model(spark, sf):
+    """The chance that a query has a match at all, out of fold, from the profile of its scores."""
+    s, own, e = _scored(spark, sf)
+    f = group.entity_features(s.withColumn("cos", F.col("p"))).join(e.select("qi", "k"), "qi")
+    f = f.withColumn("label", (F.col("k") > 0).cast("int")).withColumn("fold", prepare.fold_of(F.col("qi")).cast("int"))
+    return score.out_of_fold(f, ["e_pmax", "e_psum", "e_ncand", "e_nhi", "e_nmid", "e_p2nd", "e_cosmax"], p="e", kind="logistic").select("qi", "e", "label")
 
 
 @query()
 def resolve(spark, sf):
-    """The whole chain: candidates, score, group features, one-to-one and the expected-F rule."""
+    """The chain from vectors to matches: candidates, a logistic curve of the cosine as score, one-to-one and the expected-F rule."""
     q, p = V.vectors(spark, sf)
-    edges = block.knn(q, p)
-    d = edges.select("qi", "pj", (1 / (1 + F.exp(-10 * (F.col("cos") - 0.15)))).alias("p"))
+    d = block.knn(q, p).select("qi", "pj", (1 / (1 + F.exp(-10 * (F.col("cos") - 0.15)))).alias("p"))
     return decide.expected_f(decide.prepare_rules(d)).select("qi", "pj", "p", "r")

@@ -1,10 +1,13 @@
-"""Text tables, result lists, feature caches, dictionaries, experiment logs and reports. Paths are Spark's: any file system it knows."""
+"""Text tables, result lists, feature caches, vocabularies, dictionaries, models, experiment logs and reports. Paths are Spark's: any file system it knows."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
-from collections.abc import Iterable
+import time
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +17,14 @@ RAW = ("entity_id", "business_name", "business_address", "country")
 
 
 def read_tsv(spark: SparkSession, path: str, columns: Iterable[str] = RAW) -> DataFrame:
-    """All columns as trimmed strings; an empty field is '', and 'NA' or 'null' are words."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.csv(path, schema=schema, sep="\t", header=True, quote="", escape="", nullValue="\0", mode="PERMISSIVE")
-    return df.select(*(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in schema.names))
+    """The named columns, wherever the header has them, as trimmed strings; an empty field is '', and 'NA' or 'null' are words."""
+    first = spark.read.text(path).limit(1).collect()
+    names = [x.strip().lstrip("\ufeff") for x in (first[0][0] if first else "").split("\t")]
+    if missing := [c for c in columns if c not in names]:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    df = spark.read.csv(path, schema=schema, sep="\t", header=True, quote="", escape="", nullValue="\0", mode="PERMISSIVE", enforceSchema=True)
+    return df.select(*(F.coalesce(F.trim(f"c{names.index(c)}"), F.lit("")).alias(c) for c in columns))
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
@@ -79,26 +86,97 @@ def save_embeddings(df: DataFrame, encode, path: str, key: str, text: str) -> No
     df.select(key, text).mapInArrow(run, f"{key} {kind}, vec array<float>").write.parquet(path, mode="overwrite")
 
 
-def save_json(obj, path: str) -> None:
-    """Driver-side; the file appears whole or not at all."""
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(obj, f, ensure_ascii=False, indent=1)
-    os.replace(path + ".tmp", path)
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def load_json(path: str, default=None):
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file; it appears whole or not at all."""
+    fs, p = _file(spark, path)
+    part = p.suffix(".tmp")
+    out = fs.create(part, True)
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return default
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(p, False)
+    fs.rename(part, p)
 
 
-def log_result(path: str, exp: str, variant: str, **metrics) -> None:
-    """Append a line; NaN becomes null."""
-    row = {"exp": exp, "variant": variant} | {k: None if isinstance(v, float) and v != v else v for k, v in metrics.items()}
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(row) + "\n")
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None if there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def save_json(spark: SparkSession, obj, path: str) -> None:
+    write_text(spark, json.dumps(obj, ensure_ascii=False, indent=1), path)
+
+
+def load_json(spark: SparkSession, path: str, default=None):
+    text = read_text(spark, path)
+    return default if text is None else json.loads(text)
+
+
+def log_result(spark: SparkSession, path: str, exp: str, variant: str, **metrics) -> None:
+    """A line of a log (a folder with a file for each line, so that runs may write at once); NaN becomes null."""
+    row = {"exp": exp, "variant": variant, "time": time.time()} | {k: None if isinstance(v, float) and v != v else v for k, v in metrics.items()}
+    write_text(spark, json.dumps(row) + "\n", f"{path}/{time.time_ns()}-{uuid.uuid4().hex}.jsonl")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """A vocabulary (country, token, df, idf, idf_default), a dictionary (field, native, latin, score) or another table."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """A saved table; made and saved first, if there is none."""
+    fs, p = _file(spark, f"{path}/_SUCCESS")
+    if make is not None and not fs.exists(p):
+        save_table(make(), path)
+    return spark.read.parquet(path)
+
+
+def dictionary_map(dictionary: DataFrame, field: str) -> DataFrame:
+    """One row with the dictionary of a field as a map column, native to latin; a dictionary has some ten thousand words at most."""
+    rows = dictionary.where(F.col("field") == field).groupBy("native").agg(F.max_by("latin", F.struct("score", "latin")).alias("latin"))
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("native", "latin"))).alias(f"{field}_words"))
+
+
+def save_models(spark: SparkSession, models: dict, decision: dict, path: str) -> None:
+    """Fitted pipelines by name, and the decision that uses them."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+    save_json(spark, decision | {"models": sorted(models)}, f"{path}/decision.json")
+
+
+def load_models(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    from pyspark.ml import PipelineModel
+
+    decision = load_json(spark, f"{path}/decision.json", {})
+    return {name: PipelineModel.load(f"{path}/{name}") for name in decision.get("models", ())}, decision
+
+
+@contextlib.contextmanager
+def run_log(spark: SparkSession, path: str):
+    """A function that prints lines with seconds since the start; they are written to path at the end, also after an error."""
+    began, lines = time.time(), []
+
+    def log(*words) -> None:
+        lines.append(f"[{time.time() - began:8.1f}] " + " ".join(map(str, words)))
+        print(lines[-1], flush=True)
+
+    try:
+        yield log
+    finally:
+        write_text(spark, "\n".join(lines) + "\n", path)
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -115,8 +193,19 @@ def markdown(df: DataFrame, columns: list[str] | None = None, digits: int = 4, m
     return "\n".join("| " + " | ".join(r) + " |" for r in [columns, ["---"] * len(columns), *rows])
 
 
-def find_data_dir(candidates: Iterable[str], variable: str = "TESSERA_DATA", needs: str = "") -> str | None:
+def report(sections: dict[str, DataFrame | str], title: str = "Report", digits: int = 4) -> str:
+    """A text with a table, or words, for each section."""
+    parts = [f"# {title}"]
+    for name, body in sections.items():
+        parts.append(f"## {name}\n\n{body if isinstance(body, str) else markdown(body, digits=digits)}")
+    return "\n\n".join(parts) + "\n"
+
+
+def find_data_dir(spark: SparkSession, candidates: Iterable[str], variable: str = "TESSERA_DATA", needs: str = "") -> str | None:
+    """The first folder that holds ``needs``; the environment's comes first."""
     for p in [os.environ.get(variable, ""), *candidates]:
-        if p and os.path.exists(os.path.join(p, needs)):
-            return p
+        if p:
+            fs, at = _file(spark, f"{p}/{needs}" if needs else p)
+            if fs.exists(at):
+                return p
     return None

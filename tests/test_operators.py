@@ -25,8 +25,20 @@ def test_rules(spark):
 
 
 def test_knn_forms_agree(spark, sf):
-    a, b = block.knn(*vectors(spark, sf)), block.knn_blocked(*vectors(spark, sf), rows=7)
-    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    q, p = vectors(spark, sf)
+    plain = block.ranked(block.scored_pairs(q, p), "qi", "pj", 10, "fwd_rank")
+    for rows in (7, 1000):
+        got = block.forward_topk(q, p, 10, rows)
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+def test_ivf_recall(spark, sf):
+    """Most of the true neighbours are found in half of the lists, and nearly all in four fifths."""
+    q, p = vectors(spark, sf)
+    exact = block.forward_topk(q, p, 10).select("qi", "pj")
+    n = exact.count()
+    assert block.knn_ivf(q, p, 10, lists=20, probes=10).select("qi", "pj").join(exact, ["qi", "pj"]).count() >= 0.6 * n
+    assert block.knn_ivf(q, p, 10, lists=20, probes=16).select("qi", "pj").join(exact, ["qi", "pj"]).count() >= 0.9 * n
 
 
 def test_files(spark, tmp_path):
@@ -58,3 +70,55 @@ def test_stream(spark, sf, tmp_path):
     match = lambda s1, new: new.join(s1, new["s_nationkey"] == s1["n_nationkey"]).select("s_suppkey", "n_name")
     resolve_stream(pool, s1, match, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_stores(spark, tmp_path):
+    path = str(tmp_path)
+    assert io.load_json(spark, f"{path}/none.json", 7) == 7
+    io.save_json(spark, {"a": [1, "é"]}, f"{path}/x.json")
+    io.save_json(spark, {"a": 2}, f"{path}/x.json")
+    assert io.load_json(spark, f"{path}/x.json") == {"a": 2}
+    for v in (0.5, float("nan")):
+        io.log_result(spark, f"{path}/log", "e", "v", f05=v)
+    assert sorted((r["f05"] for r in io.read_log(spark, f"{path}/log").collect()), key=str) == [0.5, None]
+    made = []
+    make = lambda: made.append(1) or spark.createDataFrame([("name", "क", "ka", 2.0), ("name", "क", "kb", 1.0)], "field string, native string, latin string, score double")
+    for _ in range(2):
+        words = io.load_table(spark, f"{path}/dictionary", make)
+    assert made == [1] and io.dictionary_map(words, "name").first()[0] == {"क": "ka"}
+    with io.run_log(spark, f"{path}/run.txt") as log:
+        log("began", 1)
+    assert io.read_text(spark, f"{path}/run.txt").endswith("began 1\n")
+    assert io.find_data_dir(spark, ["/nowhere", path], needs="x.json") == path
+    assert "| 2 |" in io.report({"numbers": spark.createDataFrame([(2,)], "n int")})
+
+
+def test_tsv_by_header(spark, tmp_path):
+    p = tmp_path / "s.tsv"
+    p.write_text("country\t business_name \tentity_id\tbusiness_address\nUS\tAcme\tS1-1\tx\n")
+    assert [tuple(r) for r in io.read_source(spark, str(p)).collect()] == [("S1-1", "Acme", "x", "US")]
+    bad = tmp_path / "bad.tsv"
+    bad.write_bytes(b"a\tb\n\xff\n")
+    files = spark.read.format("binaryFile").load([str(p), str(bad)]).select("path", "content")
+    assert tuple(validate.encoding_errors(files).first())[2:] == (1, "bad.tsv")
+
+
+def test_models_and_split(spark, tmp_path):
+    from tessera.operators import prepare, score
+
+    d = spark.createDataFrame([(i, i % 7 / 7, int(i % 7 > 3)) for i in range(200)], "qi long, x double, label int")
+    model = score.fit(d, ["x"], kind="logistic")
+    io.save_models(spark, {"stage1": model}, {"rule": "threshold"}, str(tmp_path / "models"))
+    models, decision = io.load_models(spark, str(tmp_path / "models"))
+    assert decision["rule"] == "threshold" and score.predict(models["stage1"], d, ["x"]).exceptAll(score.predict(model, d, ["x"])).isEmpty()
+    s = lambda *ids: spark.createDataFrame([(i,) for i in ids], "entity_id string")
+    truth = spark.createDataFrame([("a", "x, y"), ("b", "")], "source1_entity_id string, matched_entity_ids string")
+    s1, pool = prepare.build_split({"S1": s("a", "b"), "S2": s("x"), "S3": s("y", "z")}, truth, str(tmp_path / "split"))
+    assert {r["entity_id"]: r["k"] for r in s1.collect()} == {"a": 2, "b": 0}
+    prio = {r["entity_id"]: r["prio"] for r in s1.collect()}
+    assert {r["entity_id"]: (r["src"], r["owner"], r["prio"] == prio["a"]) for r in pool.collect()} == {"x": ("S2", "a", True), "y": ("S3", "a", True), "z": ("S3", "", False)}
+
+
+def test_stage_selection(spark):
+    row = lambda f: spark.createDataFrame([("relative", "0.5", f, 0.9), ("threshold", "0.5", f - 0.1, 0.8)], "rule string, params string, f05_tune double, f05 double")
+    assert decide.stage(row(0.8), row(0.8)).first()["stage"] == 2 and decide.stage(row(0.8), row(0.7)).first()["stage"] == 1

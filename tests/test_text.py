@@ -40,3 +40,19 @@ def test_set_similarities(spark):
     e, a, b = F.array().cast("array<string>"), F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"))
     got = spark.range(1).select(S.jaccard(e, e), S.jaccard(e, e, None), S.jaccard(a, b), S.containment(a, b), S.containment(a, e)).first()
     assert tuple(got) == (0.0, None, 0.5, 1.0, 0.0)
+
+
+def test_compatibility_and_native(spark):
+    t = F.col("t")
+    assert values(spark, T.normalize(t, 1), "ﬁne № 5 ① ＡＢＣ", "½ x") == ["fine no 5 1 abc", "1 2 x"]
+    assert values(spark, T.normalize(t, 2), "शर्मा", "क ख", "acme") == ["sharma", "ka kha", "acme"]
+    assert values(spark, T.normalize(t, 1), "शर्मा") == ["शर्मा"]
+    d, o = F.create_map(F.lit("शर्मा"), F.lit("verma co")), F.create_map(F.lit("खान"), F.lit("khan"))
+    assert values(spark, T.normalize(t, 3, dictionary=d, other=o), "शर्मा खान क") == ["verma co khan ka"]
+    assert values(spark, T.native_runs(t), "a शर्मा b क") == [["शर्मा", "क"]]
+    assert values(spark, T.plain_words(t), "Café-Ünal, №1!") == ["cafe unal no1"]
+
+
+def test_long_strings():
+    a = "ab c" * 3000
+    assert S.jaro(a, a[:-1] + "x") > 0.99 and S.jaro("", "a") == 0 and S.jaro("a", "b") == 0
