@@ -3,12 +3,17 @@
 Every page's containers are scored by the text of their blocks, less their links; each page votes for the path of its
 best container, generalised to tags and classes with digits masked. The votes are counted per host in Spark, and all
 pages of a host are read again with its winning path; a page without such a container keeps its own best one. Blocks
-inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections are left out.
+inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections are left out:
+by element, role, or a class or id that names such a part, as a whole word or in a usual compound ("site-header", but not
+"entry-header" or "side-by-side"). An article's own headings are its text; a header element is not.
+
+The best container is the innermost article or main element that holds most of the text; on pages without one, the
+innermost container outside of which no prose to speak of is left.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
 space. Null and empty pages give an empty text; a null url is a host of its own, as are urls without a host. Repeated
-rows vote and are extracted each. Ties of votes go to the path that sorts first. Other columns are ignored; an empty
-table gives none. Pages are read whole, one at a time.
+rows vote and are extracted each. Ties of votes go to the path that sorts first. Other columns are ignored, whatever
+their names; an empty table gives none. Pages are read whole, one at a time, however long or deep.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -24,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ._spark import cut
 
-#: Containers in more containers than this are not told apart.
-DEEPEST = 200
+#: Characters from which on a block is taken for prose; the share of the prose that may stay outside of the best container.
+PROSE, OUTSIDE = 100, 0.05
 #: So many hosts are joined by broadcast; more are joined by a shuffle.
 FEW_HOSTS = 20_000
 
@@ -35,28 +41,47 @@ SPACES = re.compile(r"\s+")
 # Elements of HTML by their part in a page.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("article body div main section td".split())
-LEFT_OUT = set("aside button canvas datalist dialog footer form head header iframe input label math menu nav noscript object select svg template textarea title".split())
+LEFT_OUT = set("aside button canvas datalist dialog footer form head header iframe input menu nav noscript select svg template textarea title".split())
 RAW = {"script": re.compile(r"</script[\s/>]", re.I), "style": re.compile(r"</style[\s/>]", re.I), "textarea": re.compile(r"</textarea[\s/>]", re.I), "title": re.compile(r"</title[\s/>]", re.I)}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag ends, and where the search for them stops.
 ENDS_OPEN = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|warning|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|"
-    r"masthead|footer|header|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|popup|modal|overlay|newsletter|subscribe|signup|login|search|toolbar|widget|pagination|pager|skip)(?:$|[\s_-]|\d)",
-    re.I,
+# Class and id words that name parts outside of the article, whole and in compounds.
+NAMES = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts warning sidebar side menu navbar nav navigation "
+    "breadcrumb breadcrumbs masthead footer header comment comments commentlist disqus replies reply respond share sharing social related recommended popup modal overlay newsletter subscribe signup "
+    "login search toolbar widget pagination pager skip".split()
+)
+COMPOUNDS = re.compile(
+    r"(?:^|[_-])(?:advert\w*|sponsored|cookies?|consent|gdpr|sidebar|navbar|nav|navigation|breadcrumbs?|footer|commentlist|disqus|newsletter|popup|modal)(?:$|[_-]|\d)"
+    r"|^(?:comments?|widget|menu|social|pagination|skip)[_-]|[_-](?:comments|menu|widget|pagination)$"
+    r"|(?:^|[_-])ads?[_-]?(?:slot|banner|box|unit|container|wrapper|block|space|top|bottom|left|right|\d+)(?:$|[_-])|[_-]ads?$"
+    r"|^(?:site|page|main|top|global)[_-](?:header|banner|notice)|^(?:privacy|legal|copyright)[_-]notice|^side[_-](?:bar|nav|column|panel)"
+    r"|^(?:share|sharing)[_-](?:bar|box|button|icon|link|tool|this)|^(?:related|recommended)[_-](?:article|content|item|link|post|storie|story|read)"
+    r"|^(?:search|login|signup|subscribe|reply)[_-](?:form|box|bar|field|button|modal)"
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 
 
+@lru_cache(1 << 14)
+def left_out_name(names: str) -> bool:
+    """Whether a class or id attribute names a part outside of the article."""
+    return any(re.sub(r"\d+$", "", x).strip("_-") in NAMES or COMPOUNDS.search(x) for x in names.lower().split())
+
+
 class Page:
-    """blocks: (text, its characters in links, containers around it from the outermost, whether it is left out)."""
+    """blocks: (text, its characters in links, the innermost container around it or -1, whether it is left out)."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.paths: list[str] = []  # of containers
+        self.blocks: list[tuple[str, int, int, bool]] = []
+        # Of containers, in page order: label, the container around (or -1), number of containers around, hash of the path.
+        self.labels: list[str] = []
+        self.above: list[int] = []
+        self.depth: list[int] = []
+        self.paths: list[int] = []
         # Open elements: tag, container number or -1, left out (here or above).
         stack: list[tuple[str, int, bool]] = []
-        around: tuple[int, ...] = ()
+        around = -1
         out, links, text, in_links, at = False, 0, [], 0, 0
 
         def flush() -> None:
@@ -79,8 +104,8 @@ class Page:
             nonlocal around, out, links
             flush()
             for tag, container, _ in stack[to:]:
-                if container >= 0:
-                    around = around[:-1]
+                if container >= 0 and around >= container:
+                    around = self.above[container]
                 if tag == "a":
                     links -= 1
             del stack[to:]
@@ -136,19 +161,21 @@ class Page:
                 continue
             attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] and not m[3].isspace() else {}
             hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-            named = tag not in ("html", "body", "article", "main") and any(NAMES.search(attributes[x]) for x in ("class", "id") if x in attributes)
+            named = tag not in ("html", "body", "article", "main") and any(left_out_name(attributes[x]) for x in ("class", "id") if x in attributes)
             left_out = out or tag in LEFT_OUT or hidden or named or attributes.get("role") in ROLES
             if left_out != out:
                 flush()
             if m[3].endswith("/") and tag not in BLOCKS:
                 continue
             container = -1
-            if tag in CONTAINERS and len(around) < DEEPEST:
-                classes = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
-                above = self.paths[around[-1]] if around else ""
-                container = len(self.paths)
-                self.paths.append(f"{above}/{tag}.{classes}" if classes else f"{above}/{tag}")
-                around = (*around, container)
+            if tag in CONTAINERS:
+                classes = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).replace("/", "|").split())))
+                container = len(self.labels)
+                self.labels.append(f"{tag}.{classes}" if classes else tag)
+                self.above.append(around)
+                self.depth.append(self.depth[around] + 1 if around >= 0 else 0)
+                self.paths.append(hash((self.paths[around] if around >= 0 else 0, self.labels[-1])))
+                around = container
             stack.append((tag, container, left_out))
             out = left_out
             if tag == "a":
@@ -157,27 +184,47 @@ class Page:
         add(rest if "<" not in rest else rest[: rest.index("<")] if re.match(r"[^<]*<[/a-zA-Z!?]", rest) else rest)
         flush()
 
-    def best(self) -> str:
-        """The path of the container with the highest score; without containers an empty one."""
-        gain: Counter[int] = Counter()
-        for text, links, around, out in self.blocks:
+    def path(self, container: int) -> str:
+        labels = []
+        while container >= 0:
+            labels.append(self.labels[container])
+            container = self.above[container]
+        return "".join(f"/{x}" for x in reversed(labels))
+
+    def best(self) -> int:
+        """The best container; -1 without any."""
+        prose = any(len(text) >= PROSE and not out for text, _, _, out in self.blocks)
+        gain, every = [0.0] * len(self.labels), 0.0
+        for text, links, container, out in self.blocks:
             if not out:
-                worth = max(0, len(text) - 2 * links)
-                for depth, c in enumerate(reversed(around)):
-                    gain[c] += worth
-        every = max(gain.values(), default=0)
-        # The innermost container that still holds most of the text; an article or main element before others.
-        full = [c for c, x in gain.items() if every and x >= 0.6 * every]
-        marked = [c for c in full if self.paths[c].rpartition("/")[2].partition(".")[0] in ("article", "main")] or [c for c, x in gain.items() if x and self.paths[c].rpartition("/")[2].partition(".")[0] == "article"]
-        pick = marked or full
-        return self.paths[max(pick, key=lambda c: (self.paths[c].count("/"), gain[c]))] if pick else ""
+                worth = max(0, len(text) - 2 * links) / (10 if prose and len(text) < PROSE else 1)
+                every += worth
+                if container >= 0:
+                    gain[container] += worth
+        for c in range(len(gain) - 1, -1, -1):
+            if self.above[c] >= 0:
+                gain[self.above[c]] += gain[c]
+        if not every:
+            return -1
+        tags = [x.partition(".")[0] for x in self.labels]
+        full = [c for c, x in enumerate(gain) if x >= 0.6 * every and tags[c] in ("article", "main")]
+        pick = full or [c for c, x in enumerate(gain) if x and tags[c] == "article"] or [c for c, x in enumerate(gain) if x >= (1 - OUTSIDE) * every]
+        return max(pick, key=lambda c: (self.depth[c] if pick is not full or tags[c] == "article" else -1, gain[c]), default=-1)
 
     def text(self, path: str | None) -> str:
-        """The text inside the containers of a path; of the page's best path, if there is none here."""
-        if not path or path not in self.paths:
-            path = self.best()
-        inside = {k for k, p in enumerate(self.paths) if p == path}
-        return " ".join(t for t, _, around, out in self.blocks if not out and (not path or inside.intersection(around)))
+        """The text inside the containers of a path; of the page's best container and those alike, if there is none here."""
+        wanted = 0
+        for label in (path or "").split("/")[1:]:
+            wanted = hash((wanted, label))
+        if not path or wanted not in self.paths:
+            best = self.best()
+            if best < 0:
+                return " ".join(t for t, _, _, out in self.blocks if not out)
+            wanted = self.paths[best]
+        inside = []
+        for c, p in enumerate(self.paths):
+            inside.append(p == wanted or (self.above[c] >= 0 and inside[self.above[c]]))
+        return " ".join(t for t, _, c, out in self.blocks if not out and c >= 0 and inside[c])
 
 
 def host(url: Column) -> Column:
@@ -188,8 +235,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: Counter[tuple[str, str]] = Counter()
         for h, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if html.is_valid and (path := Page(html.as_py()).best()):
-                votes[h, path] += 1
+            if html.is_valid and (best := (page := Page(html.as_py())).best()) >= 0:
+                votes[h, page.path(best)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
 
 
