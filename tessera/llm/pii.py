@@ -104,6 +104,8 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: of(kind) for kind in KINDS}
 
 
+#: Formats of which spans are added: addresses, cards and phone numbers. What looks like an IP address is one by the base rule or never.
+ADDED = (0, 2, 3)
 #: Features: name, bins. The plus of a phone number and Luhn's test, by which the base rules decide, are not among them.
 FEATURES = (("format", 4), ("digits", 6), ("groups", 4), ("brackets", 2), ("glued", 2), ("cue", 6))
 
@@ -120,7 +122,7 @@ def candidates(text: Column) -> Column:
         cue = F.when(near.rlike("phone|tel|call|fax|mobile|cell"), 1).when(near.rlike("card|visa|credit|account|iban"), 2).when(near.rlike(r"mail|contact|write"), 3).when(near.rlike(r"\bip\b|host|server|addr"), 4).when(near.rlike("token|key|hash|sha|uuid|serial|version|isbn"), 5).otherwise(0)
         return F.struct(
             x["start"].alias("start"), x["stop"].alias("stop"), form.alias("format"), bin_d.alias("digits"),
-            (F.least(groups, F.lit(4)) - 1).alias("groups"), s.rlike(r"[(\[]").cast("int").alias("brackets"),
+            (F.lit(0) if kind == "email" else F.least(groups, F.lit(4)) - 1).alias("groups"), (F.lit(0) if kind == "email" else s.rlike(r"[(\[]").cast("int")).alias("brackets"),
             (x["before"].rlike(r"[A-Za-z0-9_\"]$") | x["after"].rlike("^[A-Za-z0-9_]")).cast("int").alias("glued"), cue.alias("cue"),
         )
 
@@ -174,8 +176,8 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, precision: float) -> tuple[Trees, float]:
-    """The trees and the calibrated threshold, from the counts of feature cells over all documents."""
+def learn(docs: DataFrame, precision: float) -> tuple[Trees, dict[int, float]]:
+    """The trees and the calibrated threshold of each format, from the counts of feature cells over all documents."""
     text = F.coalesce("text", F.lit(""))
     hinted = docs.select("doc_id", text.alias("text")).where(text.rlike("|".join(WIDE_HINTS.values())))
     spans = base_spans(F.col("text"))
@@ -187,22 +189,24 @@ def learn(docs: DataFrame, precision: float) -> tuple[Trees, float]:
     for r in counted:
         halves[r["calibrate"]].setdefault(tuple(r[n] for n, _ in FEATURES), [0, 0])[0 if r["is_base"] else 1] += r["n"]
     trees = Trees([(k, float(p), float(n)) for k, (p, n) in sorted(halves[0].items())])
-    good = every = 0
-    threshold = float("inf")
-    for s, p, n in sorted(((trees.score(k), p, n) for k, (p, n) in halves[1].items()), reverse=True):
-        good, every = good + p, every + p + n
-        if good >= precision * every and s > 0:
-            threshold = s - 1e-9
-    return trees, threshold
-
-
-def find_pii(docs: DataFrame, precision: float = 0.9) -> DataFrame:
-    """doc_id, counts and hash of the base spans, all spans as text, and n_added."""
-    trees, threshold = learn(docs, precision)
+    thresholds = {}
+    for kind in ADDED:
+        good = every = 0
+        for s, p, n in sorted(((trees.score(k), p, n) for k, (p, n) in halves[1].items() if k[0] == kind), reverse=True):
+            good, every = good + p, every + p + n
+            if good >= precision * every and s > 0:
+                thresholds[kind] = s - 1e-9
+    return trees, thresholds
+
+
+def find_pii(docs: DataFrame, precision: float = 0.5) -> DataFrame:
+    """doc_id, counts and hash of the base spans, all spans as text, n_added and n_spans (all)."""
+    trees, thresholds = learn(docs, precision)
     spans = base_spans(F.col("text"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", *(c.alias(k) for k, c in spans.items()))
-    wide = F.filter(candidates(F.col("text")), lambda x: (trees.column(x) >= threshold) & ~F.exists(F.array(*KINDS), lambda b: overlaps(x, b)))
+    passed = lambda x: F.coalesce(*(F.when(x["format"] == k, trees.column(x) >= t) for k, t in thresholds.items()), F.lit(False))
+    wide = F.filter(candidates(F.col("text")), lambda x: passed(x) & ~F.exists(F.array(*KINDS), lambda b: overlaps(x, b)))
     named = lambda x: F.struct(F.when(x["format"] == 0, "email").when(x["format"] == 1, "ip").when(x["format"] == 2, "card").otherwise("phone").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))
     docs = docs.withColumn("added", F.transform(wide, named))
 
@@ -219,6 +223,7 @@ def find_pii(docs: DataFrame, precision: float = 0.9) -> DataFrame:
         F.sha2(text_of(F.concat(*KINDS)), 256).alias("base_sha256"),
         text_of(every).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.size(every).cast("long").alias("n_spans"),
     )
 
 
