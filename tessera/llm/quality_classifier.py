@@ -1,7 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-Words, character 4-grams (of bytes, across word boundaries) and a mark for a word that repeats the one before it are
-hashed to BUCKETS rows of an embedding table; a document is the average of its rows, and a softmax layer over two
+Words, pairs of words, character 4-grams (of bytes, across word boundaries) and a mark for a word that repeats the one
+before it (a bucket of its own) are hashed to BUCKETS rows of an embedding table; a document is the average of its rows, and a softmax layer over two
 classes is trained with the table by stochastic gradient descent in numpy. As the layer is linear, scoring needs only
 each row's difference of the two outputs: a table of BUCKETS floats, whatever the input.
 
@@ -9,7 +9,8 @@ Training takes the labelled rows outside the held-out fold; of more than ``sampl
 smallest hashes of doc_id. Each is read whole, as is every text that is scored. Labels, lang, source and doc_id never
 enter a score.
 
-Null and empty texts have no features and get the score of the bias. A null label is no label; labels of one doc_id are
+Null and empty texts have no features and get the score of the bias. A null doc_id counts as held out. Very long texts
+cost time in proportion to their length, and memory for one text at a time. A null label is no label; labels of one doc_id are
 averaged, and a tie is no label. Repeated rows are scored each. With labels of one class, or none, every score is the
 smoothed share of good labels. Other columns are kept by ``keep_good``. An empty table gives none.
 """
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tokens import SPACE, U, hash_spans, slices, words
+from ._tokens import BASE, SPACE, U, hash_spans, mix, slices, words
 
 BITS = 17
 BUCKETS = 1 << BITS
+#: The bucket of a repeated word's mark, which no hash shares.
+SAME = 0
 DIM, EPOCHS, BATCH, RATE, SEED = 8, 12, 32, 60.0, 5
 
 
@@ -41,15 +44,18 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     for lo, hi, raw, at in slices(texts):
         s, e, row = words(raw, at, SPACE)
         h = hash_spans(raw, s, e) if len(s) else np.zeros(0, U)
-        same = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1])) + 1
+        beside = np.flatnonzero(row[1:] == row[:-1])
+        pairs = mix(h[beside] * U(BASE) + h[beside + 1])
+        same = beside[h[beside] == h[beside + 1]]
         x = raw.astype(np.uint32)
         n = max(0, len(x) - 3)
         g = x[:n] | x[1 : n + 1] << np.uint32(8) | x[2 : n + 2] << np.uint32(16) | x[3 : n + 3] << np.uint32(24)
         of = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(at))
         inside = of[:n] == of[3:]
         g = (g * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-        f = np.concatenate([(h >> U(64 - BITS)).astype(np.uint32), g[inside], np.full(len(same), 1, np.uint32)])
-        yield lo, hi, f, np.concatenate([row.astype(np.int32), of[:n][inside], row[same].astype(np.int32)])
+        f = np.concatenate([(h >> U(64 - BITS)).astype(np.uint32), (pairs >> U(64 - BITS)).astype(np.uint32), g[inside]])
+        f[f == SAME] = SAME ^ 1
+        yield lo, hi, np.append(f, np.full(len(same), SAME, np.uint32)), np.concatenate([row.astype(np.int32), row[beside].astype(np.int32), of[:n][inside], row[same].astype(np.int32)])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 5000)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs, and score as ``_score``."""
+    """The columns ``keep`` of docs as own_0, own_1, ... (their names may clash), and score."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = {c: f"own_{i}" for i, c in enumerate(keep)}
-    named = docs.select(F.col("text").alias("_text"), *(F.col(c).alias(n) for c, n in own.items()))
-    schema = T.StructType([*(f for f in named.schema if f.name != "_text"), T.StructField("_score", T.DoubleType())])
+    named = docs.select(F.col("text"), *(F.col(c).alias(n) for c, n in own.items()))
+    schema = T.StructType([*(f for f in named.schema if f.name != "text"), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +133,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) ->
             columns = [*batch.columns[1:], pa.array(1 / (1 + np.exp(-logit)))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    out = named.mapInArrow(run, schema)
-    return out.select(*(F.col(n).alias(c) for c, n in own.items()), "_score")
+    return named.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     scored = score(docs, fit(docs, labels, folds), ["doc_id"])
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(F.col("own_0").alias("doc_id"), (fold(F.col("own_0"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs that the classifier doesn't reject."""
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("_score") >= threshold).select(*docs.columns)
+    scored = score(docs, fit(docs, labels), docs.columns).where(F.col("score") >= threshold)
+    return scored.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))
