@@ -30,3 +30,10 @@ def lower_ascii(text: Column) -> Column:
 
 def shown(words: Column) -> Column:
     return F.array_join(words, ",")
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores after it as make it differ from the taken ones (in any case)."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name

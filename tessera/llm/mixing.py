@@ -5,7 +5,7 @@ more than ``most`` times its own size, and what that cuts off is shared by weigh
 closed form over the table of sources). Every document of a source then wants target / source size copies. Its whole
 part is taken; the fractional parts are paired, and words are moved at random from one of a pair to the other until one
 is 0 or 1: the expected copies of each document stay as they were, and the words of a pair stay the same exactly.
-Documents are dealt to buckets of about BUCKET rows by a hash of doc_id; each bucket leaves one fraction at most, and
+Documents are dealt to buckets of about BUCKET rows by a hash of doc_id (of the text, where that is null); each bucket leaves one fraction at most, and
 these meet in a tree of FAN-fold nodes until one per source is left and drawn. So a source's taken words miss its
 target by less than one document.
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._columns import WORD
+from ._columns import WORD, free
 from ._spark import cut
 
 BUCKET, FAN, SEED = 2_000, 64, 17
@@ -84,7 +84,7 @@ def _round(level: int, last: bool):
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: a row for each row of docs."""
-    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("dealt"))
     sized = cut(sized)
     sources = cut(targets(sized, weights, most))
     small = sources.agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("docs")).collect()[0]
@@ -95,7 +95,7 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     wanted = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(float(most)))
     whole = F.floor(wanted).cast("long")
     buckets = F.ceil(F.col("n_docs") / BUCKET)
-    rows = sized.select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), (wanted - whole).alias("p"), F.pmod(F.xxhash64("doc_id"), buckets).alias("bucket"))
+    rows = sized.select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), (wanted - whole).alias("p"), F.pmod(F.col("dealt"), buckets).alias("bucket"))
     levels = ceil(log(max(1, ceil((small["docs"] or 0) / BUCKET)), FAN))
     settled = []
     for level in range(levels + 1):
@@ -112,8 +112,14 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs as the mix takes them: each row as often as it is taken, with copy_no from 1. doc_id is taken for a key."""
+    """docs as the mix takes them: each row as often as it is taken, with copy_no from 1 (an own column of that name stays, and underscores are added to the new one's).
+
+    doc_id is taken for a key: rows that repeat it are each taken as often as the one that is taken most.
+    """
     taken = mix_sizes(docs, weights, most).where("copies > 0").select("doc_id", "copies")
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumn("_of", F.col("doc_id").cast("long")).join(taken.withColumnRenamed("doc_id", "_id"), F.col("_of").eqNullSafe(F.col("_id")))
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns, "copy_no")
+    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "of")
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(c).alias(n) for c, n in own.items()), F.col("doc_id").cast("long").alias("id"))
+    joined = named.join(taken, F.col("id").eqNullSafe(F.col("of")))
+    copied = joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copied.select(*(F.col(n).alias(c) for c, n in own.items()), F.col("copy_no").alias(free("copy_no", docs.columns)))
