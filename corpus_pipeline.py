@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each written and read again before the next one."""
+"""A training corpus from raw documents: five stages, each written and read again before the next one.
+
+Each stage takes the columns of documents, whatever others come with them and however these are called, and returns them
+(the last one also copy_no). Rows without a doc_id pass the stages that need one unchanged. Null, empty and very long
+texts are judged as each operator says: a null text stays null; a text without words is no copy of another, holds no
+benchmark item and is never taken by the mix. Of repeated rows the near-duplicate stage keeps one; ties go to the smaller
+doc_id. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
