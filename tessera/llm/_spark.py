@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -22,18 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def sweep(spark: SparkSession) -> None:
+    """The shuffle files behind tables that are no longer used go now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors.
 
     The files go when the application ends.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    # The shuffle files behind what is written now would else stay until the driver happens to collect its garbage.
-    spark._jvm.System.gc()
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

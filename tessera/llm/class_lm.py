@@ -34,8 +34,8 @@ from ._tokens import SPACE, U, mix, tokens
 HEAD, CLUSTERED, CLASSES = 400_000, 2_000, 48
 #: Tokens of a word from which on it has a class by its neighbours.
 FEWEST = 2
-#: Bits of a neighbour's side and class (fewer than 64 classes); the word's hash keeps the others.
-SLOT = 7
+#: Bits of both neighbours' classes (fewer than 64 classes); the word's hash keeps the others.
+SIDE, SLOT = 6, 12
 END = U(0x656E64)
 #: Distinct words that a task holds before it hands their counts on.
 HELD = 1 << 20
@@ -252,9 +252,8 @@ def inserted(docs: DataFrame, counts: DataFrame, model: Model, heads: list[tuple
             after = np.roll(kind, -1)
             after[np.r_[first[1:], True]] = kind[first]  # an end token comes before the text's first
             other = (at < 0) | (at >= m.clustered)
-            key = h[other] << U(SLOT)
-            yield key | _before(kind, first, m.end_class)[other].astype(U)
-            yield key | (k + 1 + after[other]).astype(U)
+            beside = _before(kind, first, m.end_class)[other] << SIDE | after[other]
+            yield h[other] << U(SLOT) | beside.astype(U)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = held.value.weights()
@@ -263,7 +262,7 @@ def inserted(docs: DataFrame, counts: DataFrame, model: Model, heads: list[tuple
             row = np.repeat(np.arange(n), found.value_lengths().to_numpy(zero_copy_only=False))
             flat = found.flatten()
             slot, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            near = np.bincount(row * len(weights) + slot, times, n * len(weights)).reshape(n, len(weights))
+            near = sum(np.bincount(row * len(weights) + at, times, n * len(weights)) for at in (slot >> SIDE, k + 1 + (slot & ((1 << SIDE) - 1)))).reshape(n, len(weights))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(near @ weights, 1).astype(np.int32))], ["of", "class"])
 
     pairs = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(lambda b: _counted(keys, b), "h long, c long")
