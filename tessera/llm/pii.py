@@ -5,7 +5,8 @@ Generators propose overlapping candidate spans with high recall: the four base f
 format and context features that are binned, so that the whole corpus shrinks to a table of feature cells with counts
 of base and other spans (pre-aggregated before the shuffle, at most the product of the bins). The trees are grown on
 these counts of two thirds of the documents; on the last third a threshold is calibrated, the lowest score whose cells
-and those above hold at least ``precision`` base spans. A span of the base rules always stays; candidates that pass the
+and those above hold base spans to that kind's share of ``precision`` at least (what is no base span is not wrong but
+unlabelled, so the share is below one). A span of the base rules always stays; candidates that pass the
 threshold and overlap no base span are added, under the kind whose format they share.
 
 Base, by kind, leftmost and not overlapping within the kind: e-mail addresses; IPv4 addresses with parts of at most
@@ -104,8 +105,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: of(kind) for kind in KINDS}
 
 
-#: Formats of which spans are added: addresses, cards and phone numbers. What looks like an IP address is one by the base rule or never.
-ADDED = (0, 2, 3)
+#: Formats of which spans are added (addresses, cards, phone numbers), and the share of base spans asked for. Numbers that
+#: only look like cards are common, as Luhn's test is passed by one in ten. What looks like an IP address is one by the base rule or never.
+PRECISION = {0: 0.5, 2: 0.9, 3: 0.5}
 #: Features: name, bins. The plus of a phone number and Luhn's test, by which the base rules decide, are not among them.
 FEATURES = (("format", 4), ("digits", 6), ("groups", 4), ("brackets", 2), ("glued", 2), ("cue", 6))
 
@@ -176,7 +178,7 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, precision: float) -> tuple[Trees, dict[int, float]]:
+def learn(docs: DataFrame, precision: dict[int, float]) -> tuple[Trees, dict[int, float]]:
     """The trees and the calibrated threshold of each format, from the counts of feature cells over all documents."""
     text = F.coalesce("text", F.lit(""))
     hinted = docs.select("doc_id", text.alias("text")).where(text.rlike("|".join(WIDE_HINTS.values())))
@@ -190,16 +192,16 @@ def learn(docs: DataFrame, precision: float) -> tuple[Trees, dict[int, float]]:
         halves[r["calibrate"]].setdefault(tuple(r[n] for n, _ in FEATURES), [0, 0])[0 if r["is_base"] else 1] += r["n"]
     trees = Trees([(k, float(p), float(n)) for k, (p, n) in sorted(halves[0].items())])
     thresholds = {}
-    for kind in ADDED:
+    for kind, least in precision.items():
         good = every = 0
         for s, p, n in sorted(((trees.score(k), p, n) for k, (p, n) in halves[1].items() if k[0] == kind), reverse=True):
             good, every = good + p, every + p + n
-            if good >= precision * every and s > 0:
+            if good >= least * every:
                 thresholds[kind] = s - 1e-9
     return trees, thresholds
 
 
-def find_pii(docs: DataFrame, precision: float = 0.5) -> DataFrame:
+def find_pii(docs: DataFrame, precision: dict[int, float] = PRECISION) -> DataFrame:
     """doc_id, counts and hash of the base spans, all spans as text, n_added and n_spans (all)."""
     trees, thresholds = learn(docs, precision)
     spans = base_spans(F.col("text"))
