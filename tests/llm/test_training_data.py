@@ -565,6 +565,47 @@ def test_html(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_the_article(spark):
+    """Headings, formulas, labels and odd class names inside the article stay; named parts go, whole words and usual compounds."""
+    text = lambda html: html_extract.Page(html).text(None)
+    article = lambda x: f"<nav>menu</nav><article><p>one</p>{x}<p>two</p></article><footer>f</footer>"
+    for kept, shown in (
+        ('<div class="entry-header"><h1>Title</h1></div>', "Title"), ('<div class="side-by-side"><p>S</p></div>', "S"), ('<div class="search-engine-history">H</div>', "H"),
+        ("<p>Let <math>x = 2</math> be.</p>", "Let x = 2 be."), ("<label>L</label>", "L"), ("<object>O</object>", "O"), ('<div class="ad-hoc">A</div>', "A"), ('<p class="share-price">P</p>', "P"),
+    ):
+        assert text(article(kept)) == f"one {shown} two", kept
+    for gone in ('<div class="ad">x</div>', '<div class="ad-slot-3">x</div>', '<div id="comments"><p>x</p></div>', '<div class="comment-body">x</div>', '<div class="cookie-notice">x</div>', '<div class="share-buttons">x</div>', '<div class="sidebar-left">x</div>', '<div class="main-nav">x</div>', "<form><label>x</label></form>", '<div class="related-posts">x</div>', '<div class="site-header">x</div>'):
+        assert text(article(gone)) == "one two", gone
+    deep = "<div>" * 205 + "<p>" + "main text " * 30 + "</p>" + "</div>" * 3 + "<div class=links>" + "<a href=x>link</a> " * 30 + "</div>" + "</div>" * 202
+    assert text(deep) == " ".join(["main text"] * 30)
+    assert text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
+    lead, rest = "a" * 650, "b" * 350
+    assert text(f"<body><div class=post><div class=lead><p>{lead}</p></div><div class=rest><p>{rest}</p></div></div><div class=x>short</div></body>") == f"{lead} {rest}"
+
+
+def test_html_ties_and_odd_rows(spark):
+    """Equal votes go to the path that sorts first; null pages and urls, repeated rows and clashing names give a row each."""
+    page = lambda c: f"<body><div class={c}><p>{'text of the page ' * 9}</p></div><div class=z><p>more</p></div></body>"
+    rows = [(1, "http://h/1", page("b"), "x", "x", 1), (2, "http://h/2", page("a"), "x", "x", 1), (2, "http://h/2", page("a"), None, None, None), (3, "http://h/3", page("b"), "x", "x", 1), (4, None, None, None, None, None), (None, "http://h/4", "", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, votes int").repartition(2)
+    assert [(r["host"], r["path"], r["votes"]) for r in html_extract.host_paths(pages).collect()] == [("h", "/body/div.a", 2)]
+    got = html_extract.extract_main_text(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 6
+    assert {r["text"] for r in got.collect()} == {("text of the page " * 9).strip(), ""}
+
+
+def test_shared_folder_is_asked_for(spark):
+    """Off a local master, tables between steps need a folder that is shared."""
+    from types import SimpleNamespace
+
+    from tessera.llm import _spark
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _spark.shared_dir(cluster)
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
