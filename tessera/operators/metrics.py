@@ -79,14 +79,25 @@ def missed_pairs(truth: DataFrame, blocked: DataFrame, survived: DataFrame, kept
     return t.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def roc_auc(scored: DataFrame, y: str = "y", p: str = "p", *by: str) -> DataFrame:
+def roc_auc(scored: DataFrame, y: str = "y", p: str = "p", *by: str, parts: int = 64) -> DataFrame:
     """Area under the ROC curve by ranks, average precision and log loss.
 
-    Scores are first counted per value: the windows run over distinct scores, of which rounding bounds the number."""
+    Scores are first counted per value. Distinct scores are dealt to ``parts`` ranges, inside of which windows run; what
+    lies below and above a range is added from a table with a row for each."""
     c = scored.groupBy(*by, p).agg(F.sum(F.col(y)).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumn("below", F.sum("neg").over(up) - F.col("neg")).withColumn("tp", F.sum("pos").over(down)).withColumn("all", F.sum("n").over(down))
+    cuts = sorted(set(c.approxQuantile(p, [i / parts for i in range(1, parts)], 0.01)))
+    c = c.withColumn("part", sum((F.coalesce(F.col(p) >= x, F.lit(False)).cast("int") for x in cuts), F.lit(0)))
+    sums = c.groupBy(*by, "part").agg(*(F.sum(x).alias(f"{x}_in") for x in ("pos", "neg", "n")))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(x).alias(f"of_{x}") for x in (*by, "part")), F.coalesce(F.sum("neg_in").over(before), F.lit(0)).alias("neg_0"), F.coalesce(F.sum("pos_in").over(behind), F.lit(0)).alias("pos_0"), F.coalesce(F.sum("n_in").over(behind), F.lit(0)).alias("n_0"))
+    same = F.lit(True)
+    for x in (*by, "part"):
+        same &= F.col(x).eqNullSafe(F.col(f"of_{x}"))
+    c = c.join(sums, same)
+    up = Window.partitionBy(*by, "part").orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*by, "part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("below", F.col("neg_0") + F.sum("neg").over(up) - F.col("neg")).withColumn("tp", F.col("pos_0") + F.sum("pos").over(down)).withColumn("all", F.col("n_0") + F.sum("n").over(down))
     sure = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     return c.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"),
