@@ -153,9 +153,15 @@ def chain(column: Column, *steps: tuple[str, str]) -> Column:
     return column
 
 
+def constant_map(table: dict[str, str]) -> Column:
+    """A map of strings as one constant of the plan, however long."""
+    listed = lambda x: F.split(F.lit("\x03".join(x)), "\x03", -1)
+    return F.map_from_arrays(listed(table.keys()), listed(table.values()))
+
+
 def spelled(column: Column, table: dict[str, str]) -> Column:
     """Each character as the table has it; others as they are."""
-    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    known = constant_map(table)
     return F.array_join(F.transform(F.split(column, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
 
 
@@ -224,7 +230,7 @@ def clean(column: Column, field: str = "name") -> Column:
 
 def form(token: Column, forms: dict[str, str]) -> Column:
     """The canonical form of a token, else null."""
-    return F.element_at(F.create_map(*(F.lit(x) for kv in forms.items() for x in kv)), token)
+    return F.element_at(constant_map(forms), token)
 
 
 def skeleton(token: Column) -> Column:

@@ -21,11 +21,19 @@ def records(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def with_weights(df: DataFrame, key: str, words: str, name: str, idf: DataFrame) -> DataFrame:
-    """Adds to each record its words' weights as entries (token, idf): the vocabulary is joined once per record, and never gathered. idf: country, token, idf."""
-    found = df.select(key, "country", F.explode(words).alias("token")).join(idf.select("country", "token", "idf"), ["country", "token"])
-    found = found.groupBy(key).agg(F.collect_list(F.struct("token", "idf")).alias(name))
-    return df.join(found, key, "left")
+def with_weights(df: DataFrame, key: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds to each record its words' weights as entries (token, idf): all vocabularies are counted at once, joined once per record, and never gathered.
+
+    columns: of each array column the name of its entries, and the least number of records a word must stand in."""
+    named = lambda c, name, least: F.transform(F.col(c), lambda t: F.struct(F.lit(name).alias("kind"), F.lit(least).alias("least"), t.alias("token")))
+    every = F.explode(F.flatten(F.array(*(named(c, *x) for c, x in columns.items()))))
+    words = df.select(key, "country", every.alias("x")).select(key, "country", "x.*")
+    n = df.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    idf = words.groupBy("country", "kind", "token").agg(F.count(F.lit(1)).alias("df"), F.first("least").alias("least")).where("df >= least").join(n, "country")
+    idf = idf.select("country", "kind", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    found = words.drop("least").join(idf, ["country", "kind", "token"])
+    lists = [F.collect_list(F.when(F.col("kind") == name, F.struct("token", "idf"))).alias(name) for name, _ in columns.values()]
+    return df.join(found.groupBy(key).agg(*lists), key, "left")
 
 
 def with_pair_weights(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:

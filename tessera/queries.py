@@ -371,9 +371,8 @@ def canonical_tokens(spark, sf):
 @query()
 def pair_features(spark, sf):
     r = features.records(V.parts(spark, sf), "id")
-    for column, name, least in (("name_tok", "idf_name", 2), ("addr_tok", "idf_addr", 2), ("name_tri", "idf_name3", 1), ("addr_tri", "idf_addr3", 1)):
-        r = features.with_weights(r, "id", column, name, vocab.inverse_frequency(r.select("country", column), F.col(column), least_df=least))
-    sizes = r.groupBy("country").agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("idf_default"))
+    r = features.with_weights(r, "id", {"name_tok": ("idf_name", 2), "addr_tok": ("idf_addr", 2), "name_tri": ("idf_name3", 1), "addr_tri": ("idf_addr3", 1)})
+    sizes = V.parts(spark, sf).groupBy("country").agg((F.log(F.count(F.lit(1)) + 1) + 1).alias("idf_default"))
     pairs = features.pair_up(V.part_pairs(spark, sf), r.withColumnRenamed("id", "qi"), r.withColumnRenamed("id", "pj"))
     pairs = features.with_pair_weights(pairs, ("idf_name", "idf_addr", "idf_name3", "idf_addr3"))
     pairs = pairs.join(sizes, F.col("q.country") == F.col("country"), "left").withColumn("idf_default3", F.col("idf_default"))
