@@ -165,11 +165,11 @@ def test_quality_rules(docs, texts, empty):
 def test_quality_rules_verdict(spark, monkeypatch):
     rng = random.Random(1)
     prose = "the of and to in it is was that for with on as are this by".split() + [f"word{chr(97 + i)}" for i in range(20)]
-    rows = [(i, " ".join(rng.choice(prose) for _ in range(80)), "en") for i in range(60)]
+    rows = [(i, " ".join(rng.choice(prose) for _ in range(80)), "en") for i in range(240)]
     rare = ["nie", "tak", "się", "jest", *(f"słowo{c}" for c in "abcdefgh")]
-    rows += [(500 + i, " ".join(rng.choice(rare) for _ in range(80)), "pl") for i in range(30)]
+    rows += [(500 + i, " ".join(rng.choice(rare) for _ in range(80)), "pl") for i in range(60)]
     rows += [(600, " ".join(rng.choice(prose) for _ in range(80)), None), (601, " ".join(rng.choice(prose) for _ in range(80)), "xx")]
-    junk = " ".join(f"{chr(65 + i % 26)}{i}##$$" for i in range(80))
+    junk = " ".join(f"{chr(65 + i % 26)}{i}##$$" for i in range(40))
     rows += [(1000, junk, "en"), (1001, junk, None), (1002, junk, "yy"), (1003, junk, "pl")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for few in (1000, 1):  # broadcast references, and joined ones
