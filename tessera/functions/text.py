@@ -319,8 +319,8 @@ def components(address: Column, level: int = 4, country: Column | None = None) -
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters of the text between two spaces; an empty text has none."""
-    s = F.concat(F.lit(" "), text, F.lit(" "))
-    runs = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
+    # One walk over the text: substring would count the characters from its start for each run.
+    runs = F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit("(?s)(?=(.{3}))."))
     return F.when(F.length(text) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as S
@@ -29,6 +31,16 @@ def test_numbers(spark):
     assert values(spark, F.array_join(T.core_name(F.split("t", " ")), " "), "acme pvt ltd", "the co") == ["acme", "the co"]
 
 
+def test_trigrams_of_long_texts(spark):
+    """Whole texts: in time that grows with their length, by code points."""
+    text = " ".join(f"wörd{i}\n😀" for i in range(30_000))
+    padded = f" {text} "
+    began = time.time()
+    assert set(values(spark, T.trigrams(F.lower("t")), text)[0]) == {padded[i : i + 3] for i in range(len(text))}
+    assert time.time() - began < 20
+    assert values(spark, T.trigrams(F.col("t")), "😀", None, "\n\n") == [[" 😀 "], [], [" \n\n", "\n\n "]]
+
+
 def test_string_similarities():
     assert abs(S.winkler("martha", "marhta") - 0.961111) < 1e-5
     assert S.ratio("", "") == 1 and S.ratio("abc", "") == 0 and abs(S.ratio("abcd", "abxd") - 0.75) < 1e-9
