@@ -2,46 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from ..stored import cut, shared_dir, sweep
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests, on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def sweep(spark: SparkSession) -> None:
-    """The shuffle files behind tables that are no longer used go now; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    sweep(spark)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    sweep(spark)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir", "sweep", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

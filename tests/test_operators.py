@@ -122,3 +122,26 @@ def test_models_and_split(spark, tmp_path):
 def test_stage_selection(spark):
     row = lambda f: spark.createDataFrame([("relative", "0.5", f, 0.9), ("threshold", "0.5", f - 0.1, 0.8)], "rule string, params string, f05_tune double, f05 double")
     assert decide.stage(row(0.8), row(0.8)).first()["stage"] == 2 and decide.stage(row(0.8), row(0.7)).first()["stage"] == 1
+
+
+def counted(spark, d):
+    """d with a column x that counts how often rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def x(i):
+        made.add(1)
+        return i % 7 / 7
+
+    return d.withColumn("x", x.asNondeterministic()("qi")), made
+
+
+def test_score_gbt_makes_rows_once(spark, sf, monkeypatch):
+    """The features behind a fit are windows and joins over all pairs: they are made once, not for each read of the fit."""
+    from tessera import queries
+
+    d, made = counted(spark, spark.createDataFrame([(i, i, int(i % 7 > 3)) for i in range(100)], "qi long, pj long, label int"))
+    monkeypatch.setattr(queries, "_labelled", lambda *_: (d, ["x"]))
+    got = {r["qi"]: r["p2"] for r in queries.QUERIES["score_gbt"](spark, sf).collect()}
+    assert len(got) == 100 and all((p > 0.5) == (i % 7 > 3) for i, p in got.items())
+    assert made.value == 100
