@@ -10,6 +10,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stored import cut
+
 
 def filled(df: DataFrame, features: list[str], value: float = -1.0) -> tuple[DataFrame, list[str]]:
     """Trees here refuse missing values: a null becomes ``value`` and a flag."""
@@ -18,7 +20,9 @@ def filled(df: DataFrame, features: list[str], value: float = -1.0) -> tuple[Dat
 
 
 def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "gbt", group: str = "qi", **params) -> PipelineModel:
-    """kind: gbt (which stops early on the queries with group % 10 == 0) or logistic."""
+    """kind: gbt (which stops early on the queries with group % 10 == 0) or logistic.
+
+    A fit reads df many times, and each job's tasks carry its plan: df should be a stored table (``stored.cut``)."""
     data, columns = filled(df, features)
     data = data.withColumn("_held", F.pmod(F.col(group), F.lit(10)) == 0).withColumn(label, F.col(label).cast("double"))
     assembler = VectorAssembler(inputCols=columns, outputCol="_features")
@@ -36,7 +40,8 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], p: str = "
 
 
 def out_of_fold(df: DataFrame, features: list[str], fold: str = "fold", n: int = 5, p: str = "p", **params) -> DataFrame:
-    """df scored by models that did not see the row's fold. Five fits over the same input; n is small and fixed."""
+    """df scored by models that did not see the row's fold. Five fits over the same input, which is stored once; n is small and fixed."""
+    df = cut(df)
     parts = [predict(fit(df.where(F.col(fold) != i), features, **params), df.where(F.col(fold) == i), features, p) for i in range(n)]
     out = parts[0]
     for x in parts[1:]:

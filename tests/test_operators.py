@@ -145,3 +145,12 @@ def test_score_gbt_makes_rows_once(spark, sf, monkeypatch):
     got = {r["qi"]: r["p2"] for r in queries.QUERIES["score_gbt"](spark, sf).collect()}
     assert len(got) == 100 and all((p > 0.5) == (i % 7 > 3) for i, p in got.items())
     assert made.value == 100
+
+
+def test_out_of_fold_makes_rows_once(spark):
+    from tessera.operators import score
+
+    d, made = counted(spark, spark.createDataFrame([(i, i % 2, int(i % 7 > 3)) for i in range(100)], "qi long, fold int, label int"))
+    got = {r["qi"]: r["p"] for r in score.out_of_fold(d, ["x"], n=2, kind="logistic").collect()}
+    assert len(got) == 100 and all(got[i] > got[j] for i in range(4, 100, 7) for j in range(3, 100, 7))
+    assert made.value == 100
