@@ -18,6 +18,12 @@ def jaccard(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return value if empty is None else F.coalesce(value, F.lit(empty))
 
 
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """Of arrays without repeats, whose union need not be made; null for two empty ones."""
+    both = shared(a, b)
+    return F.try_divide(both, F.size(a) + F.size(b) - both)
+
+
 def containment(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared(a, b), F.least(F.size(a), F.size(b))), F.lit(0.0))
 

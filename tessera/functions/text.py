@@ -324,6 +324,12 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def trigram_codes(text: Column) -> Column:
+    """The trigrams as numbers, of 21 bits for each character: a third of their size where many sets move."""
+    code = lambda t, i: F.ascii(F.substring(t, i, 1)).cast("long") * (1 << 21 * (3 - i))
+    return F.transform(trigrams(text), lambda t: code(t, 1) + code(t, 2) + code(t, 3))
+
+
 def word_grams(text: Column, least: int = 3, most: int = 3) -> Column:
     """Character n-grams of each word between two spaces, with repeats; a word shorter than n gives itself, padded."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

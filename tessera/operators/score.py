@@ -1,9 +1,9 @@
-"""Supervised scoring with pyspark.ml: boosted trees, out-of-fold stacking, isotonic calibration. Null features get a flag and a value."""
+"""Supervised scoring: boosted trees (``boost``), and with pyspark.ml logistic curves and isotonic calibration; out-of-fold stacking. Null features get a flag and a value."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stored import cut
+from . import boost
 
 
 def filled(df: DataFrame, features: list[str], value: float = -1.0) -> tuple[DataFrame, list[str]]:
@@ -19,30 +20,35 @@ def filled(df: DataFrame, features: list[str], value: float = -1.0) -> tuple[Dat
     return out, [*(f"f_{c}" for c in features), *(f"null_{c}" for c in features)]
 
 
-def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "gbt", group: str = "qi", **params) -> PipelineModel:
+def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "gbt", group: str = "qi", **params) -> PipelineModel | boost.Boosted:
     """kind: gbt (which stops early on the queries with group % 10 == 0) or logistic.
 
     A fit reads df many times, and each job's tasks carry its plan: df should be a stored table (``stored.cut``)."""
+    if kind == "gbt":
+        return boost.fit(df, features, label, group, **params)[0]
     data, columns = filled(df, features)
-    data = data.withColumn("_held", F.pmod(F.col(group), F.lit(10)) == 0).withColumn(label, F.col(label).cast("double"))
+    data = data.withColumn(label, F.col(label).cast("double"))
     assembler = VectorAssembler(inputCols=columns, outputCol="_features")
-    if kind == "gbt":
-        model = GBTClassifier(featuresCol="_features", labelCol=label, validationIndicatorCol="_held", **({"maxIter": 30, "maxDepth": 5, "stepSize": 0.1, "seed": 42} | params))
-    else:
-        model = LogisticRegression(featuresCol="_features", labelCol=label, **({"regParam": 0.01} | params))
+    model = LogisticRegression(featuresCol="_features", labelCol=label, **({"regParam": 0.01} | params))
     return Pipeline(stages=[assembler, model]).fit(data)
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str], p: str = "p") -> DataFrame:
+def predict(model: PipelineModel | boost.Boosted, df: DataFrame, features: list[str], p: str = "p") -> DataFrame:
     """df and the probability of a match."""
+    if isinstance(model, boost.Boosted):
+        return boost.predict([model], df, p)
     scored = model.transform(filled(df, features)[0]).withColumn(p, vector_to_array("probability")[1])
     return scored.select(*(c for c in df.columns if c != p), p)
 
 
-def out_of_fold(df: DataFrame, features: list[str], fold: str = "fold", n: int = 5, p: str = "p", **params) -> DataFrame:
-    """df scored by models that did not see the row's fold. Five fits over the same input, which is stored once; n is small and fixed."""
+def out_of_fold(df: DataFrame, features: list[str], fold: str = "fold", n: int = 5, p: str = "p", kind: str = "gbt", **params) -> DataFrame:
+    """df scored by models that did not see the row's fold. n fits over the same input, which is stored once; n is small and fixed.
+
+    Boosted trees are fitted by the same tasks, which get the rows once."""
     df = cut(df)
-    parts = [predict(fit(df.where(F.col(fold) != i), features, **params), df.where(F.col(fold) == i), features, p) for i in range(n)]
+    if kind == "gbt":
+        return boost.predict(boost.fit(df, features, fold=fold, n=n, **params), df, p, fold)
+    parts = [predict(fit(df.where(F.col(fold) != i), features, kind=kind, **params), df.where(F.col(fold) == i), features, p) for i in range(n)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -59,8 +65,8 @@ def calibrate(df: DataFrame, p: str = "p", label: str = "label", fold: str = "fo
     return out
 
 
-def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+def importances(model: PipelineModel | boost.Boosted, features: list[str]) -> list[tuple[str, float]]:
     """Share of each feature (with its flag), from large to small."""
-    x = model.stages[-1].featureImportances.toArray()
+    x = model.importances if isinstance(model, boost.Boosted) else model.stages[-1].featureImportances.toArray()
     n = len(features)
     return sorted(((c, float(x[i] + x[n + i])) for i, c in enumerate(features)), key=lambda t: (-t[1], t[0]))

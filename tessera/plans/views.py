@@ -54,9 +54,11 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("p_partkey").alias("qi"), (F.col("p_partkey") + 1).alias("pj")).join(d.withColumnRenamed("p_partkey", "pj"), "pj", "left_semi")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qi, pj, p, src: orders as queries, parts as pool records, a score that depends on the keys."""
+def scored(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """qi, pj, p, src: orders as queries, parts as pool records, a score that depends on the keys. dealt: by pj at once, for windows over a pool record's pairs."""
     li = table(spark, sf_dir, "lineitem")
+    if dealt:
+        li = li.select("l_orderkey", "l_partkey", "l_linenumber").repartition("l_partkey")
     p = ((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 10007).cast("double") / 10007
     s = li.groupBy(F.col("l_orderkey").alias("qi"), F.col("l_partkey").alias("pj")).agg(F.max(p).alias("p"))
     return s.withColumn("src", F.when(F.col("pj") % 2 == 0, "S2").otherwise("S3"))

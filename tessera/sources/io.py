@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
 import json
 import os
 import time
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.boost import Boosted
+
 RAW = ("entity_id", "business_name", "business_address", "country")
 
 
@@ -151,9 +154,11 @@ def dictionary_map(dictionary: DataFrame, field: str) -> DataFrame:
 
 
 def save_models(spark: SparkSession, models: dict, decision: dict, path: str) -> None:
-    """Fitted pipelines by name, and the decision that uses them."""
-    for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+    """Fitted pipelines and boosted trees by name, and the decision that uses them."""
+    trees = {name: dataclasses.asdict(model) for name, model in models.items() if isinstance(model, Boosted)}
+    for name in models.keys() - trees.keys():
+        models[name].write().overwrite().save(f"{path}/{name}")
+    save_json(spark, trees, f"{path}/trees.json")
     save_json(spark, decision | {"models": sorted(models)}, f"{path}/decision.json")
 
 
@@ -161,7 +166,8 @@ def load_models(spark: SparkSession, path: str) -> tuple[dict, dict]:
     from pyspark.ml import PipelineModel
 
     decision = load_json(spark, f"{path}/decision.json", {})
-    return {name: PipelineModel.load(f"{path}/{name}") for name in decision.get("models", ())}, decision
+    trees = load_json(spark, f"{path}/trees.json", {})
+    return {name: Boosted(**trees[name]) if name in trees else PipelineModel.load(f"{path}/{name}") for name in decision.get("models", ())}, decision
 
 
 @contextlib.contextmanager

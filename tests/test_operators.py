@@ -180,3 +180,69 @@ def test_trigram_search_counts_once(spark, sf, monkeypatch):
     plain = block.sparse_topk(v.where("pj % 20 = 0").withColumnRenamed("pj", "qi"), v, 6)
     found = block.gram_topk(block.gram_counts(d, "doc_id", words), F.col("doc") % 20 == 0, 6)
     assert shown(found) == shown(plain) and len(got) > 0
+
+
+def pairs_to_score(spark, parts=3):
+    rows = [(i, (i * 37 % 101) / 101, None if i % 7 == 0 else float(i % 4), int((i * 37 % 101 > 60) != (i % 4 == 2)), i // 3 % 5) for i in range(3000)]
+    return spark.createDataFrame(rows, "qi long, x double, z double, label int, fold int").repartition(parts)
+
+
+def test_boosted_trees_send_no_rows_to_the_driver(spark):
+    """A fit is a few jobs, whatever the rounds, keeps no rows in Spark's storage, and does not depend on how rows lie."""
+    from tessera.operators import score
+
+    d, sc = pairs_to_score(spark), spark.sparkContext
+    sc.setJobGroup("fit", "fit")
+    model = score.fit(d, ["x", "z"])
+    sc.setJobGroup("other", "other")
+    assert len(sc.statusTracker().getJobIdsForGroup("fit")) < 10
+    assert len(model.trees) > 5 and score.fit(pairs_to_score(spark, 1), ["x", "z"]).trees == model.trees
+    assert abs(sum(v for _, v in score.importances(model, ["x", "z"])) - 1) < 1e-9
+
+
+def test_boosted_trees_by_brute_force(spark):
+    """The first tree's splits and leaves are those of plain search, and a probability is its trees' sum."""
+    import numpy as np
+
+    from tessera.operators import score
+
+    d = pairs_to_score(spark)
+    model, t = score.fit(d, ["x", "z"], maxIter=1, maxDepth=2), d.toPandas()
+    known, y = t[t.qi % 10 != 0], lambda rows: 2 * rows.label - 1
+    columns = {0: known.x, 1: known.z.fillna(-1.0), 2: known.x.isna() * 1.0, 3: known.z.isna() * 1.0}
+
+    def best(at):
+        loss = lambda rows: ((y(rows) - y(rows).mean()) ** 2).sum()
+        return min(((loss(known[at & (columns[i] <= c)]) + loss(known[at & (columns[i] > c)]), i, c) for i in columns for c in model.thresholds[i] if (at & (columns[i] <= c)).any() and (at & (columns[i] > c)).any()), key=lambda r: r[0])
+
+    (weight, feature, upto, leaves), everything = model.trees[0], known.x > -1
+    _, i, cut = best(everything)
+    assert weight == 1 and (feature[0], model.thresholds[i][upto[0]]) == (i, cut)
+    for side, at in enumerate((columns[i] <= cut, columns[i] > cut)):
+        _, j, c = best(at)
+        assert (feature[1 + side], model.thresholds[j][upto[1 + side]]) == (j, c)
+        assert np.allclose(leaves[2 * side : 2 * side + 2], [y(known[at & (columns[j] <= c)]).mean(), y(known[at & (columns[j] > c)]).mean()], atol=1e-4)
+    got = {r["qi"]: r["p"] for r in score.predict(model, d, ["x", "z"]).collect()}
+    assert len(got) == 3000 and all(any(abs(p - 1 / (1 + np.exp(-2 * v))) < 1e-9 for v in leaves) for p in got.values())
+
+
+def test_boosted_trees_of_odd_tables(spark, tmp_path):
+    """No rows, one value, one class: a score for each row; and trees come back from a file."""
+    from tessera.operators import score
+
+    for rows in ([], [(1, 0.5, 1)], [(i, 0.5, 1) for i in range(30)], [(i, None, i % 2) for i in range(30)]):
+        d = spark.createDataFrame(rows, "qi long, x double, label int")
+        got = [r["p"] for r in score.predict(score.fit(d, ["x"]), d, ["x"]).collect()]
+        assert len(got) == len(rows) and all(0 < p < 1 for p in got)
+    d = pairs_to_score(spark)
+    model = score.fit(d, ["x", "z"], maxIter=3)
+    io.save_models(spark, {"a": model, "b": score.fit(d, ["x"], kind="logistic")}, {}, str(tmp_path / "m"))
+    models, _ = io.load_models(spark, str(tmp_path / "m"))
+    assert score.predict(models["a"], d, ["x", "z"]).exceptAll(score.predict(model, d, ["x", "z"])).isEmpty()
+
+
+def test_score_features_deal_pairs_twice(spark, sf):
+    from tessera import queries
+
+    plan = queries._labelled(spark, sf)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and plan.count("Exchange hashpartitioning(qi") == 1 and plan.count("Exchange hashpartitioning") <= 3
