@@ -149,7 +149,7 @@ class _Meeting:
 
 
 class _Rows:
-    """A task's rows: packed bins, label (1 or -1, 2 or -2 if held out), fold; and of a fit the margin, the node, and rows and gradient in one number."""
+    """A task's rows: packed bins and label (1 or -1, 2 or -2 if held out), by fold; and of a fit the margin, the node, and rows and gradient in one number."""
 
     def __init__(self, blocks: Iterator[bytes], sizes: list[int], meet):
         self.sizes, self.packs, self.meet = sizes, _packs(sizes), meet
@@ -161,19 +161,38 @@ class _Rows:
                 f.write(b)
                 ends.append(ends[-1] + len(b))
             n = ends[-1] // (2 * parts + 2)
-            self.n, self.codes, self.y, self.fold = n, [_room(n, np.uint16) for _ in range(parts)], _room(n, np.int8), _room(n, np.uint8)
-            f.seek(0)
-            at = 0
-            for a, b in zip(ends, ends[1:], strict=False):
-                block = f.read(b - a)
-                m = len(block) // (2 * parts + 2)
-                for k in range(parts):
-                    self.codes[k][at : at + m] = np.frombuffer(block, np.uint16, m, 2 * k * m)
-                self.y[at : at + m] = np.frombuffer(block, np.int8, m, 2 * parts * m)
-                self.fold[at : at + m] = np.frombuffer(block, np.uint8, m, (2 * parts + 1) * m)
-                at += m
+            self.codes, self.y, counts = [_room(n, np.uint16) for _ in range(parts)], _room(n, np.int8), np.zeros(NO_FOLD + 1, np.int64)
+
+            def read() -> Iterator[tuple[bytes, int, np.ndarray]]:
+                f.seek(0)
+                for a, b in zip(ends, ends[1:], strict=False):
+                    block = f.read(b - a)
+                    m = len(block) // (2 * parts + 2)
+                    yield block, m, np.frombuffer(block, np.uint8, m, (2 * parts + 1) * m)
+
+            for _, _, fold in read():
+                counts += np.bincount(fold, minlength=NO_FOLD + 1)
+            self.ends = np.cumsum(counts)
+            at = self.ends - counts
+            for block, m, fold in read():
+                order, found = np.argsort(fold, kind="stable"), np.bincount(fold, minlength=NO_FOLD + 1)
+                y, a = np.frombuffer(block, np.int8, m, 2 * parts * m)[order], 0
+                codes = [np.frombuffer(block, np.uint16, m, 2 * k * m)[order] for k in range(parts)]
+                for i in np.flatnonzero(found):
+                    here, there = slice(a, a + found[i]), slice(at[i], at[i] + found[i])
+                    self.y[there] = y[here]
+                    for mine, own in zip(self.codes, codes, strict=True):
+                        mine[there] = own[here]
+                    at[i], a = at[i] + found[i], a + found[i]
         self.margin, self.node, self.w = _room(n, np.float32), _room(n, np.uint16), _room(n, np.float64)
 
+    def blocks(self) -> Iterator[slice]:
+        """The rows that are not in fold ``out``, which lie together."""
+        gap = (0, 0) if self.out < 0 else (self.ends[self.out - 1] if self.out else 0, self.ends[self.out])
+        for start, end in ((0, gap[0]), (gap[1], self.ends[-1])):
+            for a in range(start, end, ROWS):
+                yield slice(a, min(a + ROWS, end))
+
     def down(self, b: slice, node: np.ndarray, right: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Nodes on the next level. right: for a pack, by node and bins, whether a row goes right."""
         up = np.zeros(len(node), bool)
@@ -185,8 +204,7 @@ class _Rows:
         """What ``begin`` sums up (held-out loss and rows, rows, gradient), and by feature, node and bin the rows and the gradients."""
         head, nodes = np.zeros(4, np.int64), 1 << level
         held = [np.zeros((2, nodes * w), np.int64) for w in self.width]
-        for a in range(0, self.n, ROWS):
-            b = slice(a, min(a + ROWS, self.n))
+        for b in self.blocks():
             node = self.node[b].astype(np.int64)
             if right:
                 node = self.down(b, node, right)
@@ -196,7 +214,7 @@ class _Rows:
             self.node[b] = node
             w = self.w[b]
             for k, width in enumerate(self.width):
-                both = np.bincount(node * width + self.codes[k][b], w, nodes * width).astype(np.int64)
+                both = np.bincount(node * width + self.codes[k][b] if level else self.codes[k][b], w, nodes * width).astype(np.int64)
                 n = (both + (1 << SHIFT - 1)) >> SHIFT
                 held[k][0] += n
                 held[k][1] += both - (n << SHIFT)
@@ -224,20 +242,19 @@ class _Rows:
 
     def fit(self, out: int, rounds: int, depth: int, rate: float, tolerance: float) -> tuple[list, np.ndarray]:
         """Trees of the rows that are not in fold ``out``, and the drop of squares by feature."""
-        depth = depth if self.packs else 0
+        depth, self.out = depth if self.packs else 0, out
         self.margin[:], self.node[:] = 0, 0
         trees, gains, right, best, kept = [], [], [], np.inf, 0
 
         def begin(b: slice, node: np.ndarray) -> list[int]:
-            y, used = self.y[b], self.fold[b] != out
-            held, y = used & (np.abs(y) == 2), np.sign(y)
+            y = self.y[b]
+            train, y = np.abs(y) == 1, np.sign(y)
             if trees:
                 self.margin[b] += trees[-1][0] * np.array(trees[-1][3])[node]
             e = np.exp(2.0 * y * self.margin[b])
             g = np.rint((4.0 * y / (1 + e) if trees else y) * 2.0**POINT)
-            train = used & ~held
             self.w[b] = np.where(train, g + 2.0**SHIFT, 0)
-            return [int(np.rint(2 * np.log1p(1 / e[held]) * 2.0**POINT).sum()), int(held.sum()), int(train.sum()), int(g[train].sum())]
+            return [int(np.rint(2 * np.log1p(1 / e[~train]) * 2.0**POINT).sum()), int((~train).sum()), int(train.sum()), int(g[train].sum())]
 
         for r in range(rounds + 1):
             (loss, held, n, s), by = self.sums(0, right, begin)
@@ -326,10 +343,10 @@ def fit(df: DataFrame, features: list[str], label: str = "label", group: str = "
     return [Boosted(features, value, binned.thresholds, trees, (gains / max(gains.sum(), 1e-300)).tolist()) for trees, gains in found]
 
 
-def predict(models: list[Boosted], df: DataFrame, p: str = "p", fold: str | None = None) -> DataFrame:
-    """df and the probability of a match, by the only model or by that of the row's fold."""
+def predict(models: list[Boosted], df: DataFrame, p: str = "p", fold: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df, or its columns ``keep``, and the probability of a match, by the only model or by that of the row's fold."""
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c != p]
+    kept = [c for c in df.columns if c != p and (keep is None or c in keep)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,4 +361,5 @@ def predict(models: list[Boosted], df: DataFrame, p: str = "p", fold: str | None
 
     if fold is not None:
         df = df.where(F.col(fold).between(0, len(models) - 1))
-    return df.mapInArrow(scored, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != p), f"`{p}` double"]))
+    needed = [c for c in df.columns if c in {*kept, *models[0].features, fold}]
+    return df.select(needed).mapInArrow(scored, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{p}` double"]))

@@ -33,22 +33,22 @@ def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "g
     return Pipeline(stages=[assembler, model]).fit(data)
 
 
-def predict(model: PipelineModel | boost.Boosted, df: DataFrame, features: list[str], p: str = "p") -> DataFrame:
-    """df and the probability of a match."""
+def predict(model: PipelineModel | boost.Boosted, df: DataFrame, features: list[str], p: str = "p", keep: list[str] | None = None) -> DataFrame:
+    """df, or its columns ``keep``, and the probability of a match."""
     if isinstance(model, boost.Boosted):
-        return boost.predict([model], df, p)
+        return boost.predict([model], df, p, keep=keep)
     scored = model.transform(filled(df, features)[0]).withColumn(p, vector_to_array("probability")[1])
-    return scored.select(*(c for c in df.columns if c != p), p)
+    return scored.select(*(c for c in df.columns if c != p and (keep is None or c in keep)), p)
 
 
-def out_of_fold(df: DataFrame, features: list[str], fold: str = "fold", n: int = 5, p: str = "p", kind: str = "gbt", **params) -> DataFrame:
-    """df scored by models that did not see the row's fold. n fits over the same input, which is stored once; n is small and fixed.
+def out_of_fold(df: DataFrame, features: list[str], fold: str = "fold", n: int = 5, p: str = "p", kind: str = "gbt", keep: list[str] | None = None, **params) -> DataFrame:
+    """df, or its columns ``keep``, scored by models that did not see the row's fold. n fits over the same input, which is stored once; n is small and fixed.
 
     Boosted trees are fitted by the same tasks, which get the rows once."""
     df = cut(df)
     if kind == "gbt":
-        return boost.predict(boost.fit(df, features, fold=fold, n=n, **params), df, p, fold)
-    parts = [predict(fit(df.where(F.col(fold) != i), features, kind=kind, **params), df.where(F.col(fold) == i), features, p) for i in range(n)]
+        return boost.predict(boost.fit(df, features, fold=fold, n=n, **params), df, p, fold, keep)
+    parts = [predict(fit(df.where(F.col(fold) != i), features, kind=kind, **params), df.where(F.col(fold) == i), features, p, keep) for i in range(n)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -246,3 +246,18 @@ def test_score_features_deal_pairs_twice(spark, sf):
 
     plan = queries._labelled(spark, sf)[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and plan.count("Exchange hashpartitioning(qi") == 1 and plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_out_of_fold_is_a_fit_without_the_fold(spark):
+    """All folds are fitted in one go, as fits of the other rows would be; rows in none of the folds are trained on only."""
+    from tessera.operators import score
+
+    d = pairs_to_score(spark).withColumn("fold", F.when(F.col("qi") % 50 == 3, 9).otherwise(F.col("fold")))
+    sc = spark.sparkContext
+    sc.setJobGroup("folds", "folds")
+    got = {r["qi"]: r["s"] for r in score.out_of_fold(d, ["x", "z"], p="s", keep=["qi"]).collect()}
+    sc.setJobGroup("other", "other")
+    assert len(sc.statusTracker().getJobIdsForGroup("folds")) < 15 and len(got) == 3000 - 60
+    for i in (0, 4):
+        alone = score.predict(score.fit(d.where(F.col("fold") != i), ["x", "z"]), d.where(F.col("fold") == i), ["x", "z"], "s").collect()
+        assert sum(abs(got[r["qi"]] - r["s"]) for r in alone) / len(alone) < 0.05  # thresholds are of all rows there, of the others here
